@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow on executors that needn't have this package: Spark hands it to them, once for each context."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_larkspan_sent", False):
+        package = Path(__file__).resolve().parent.parent
+        # the driver serves this file to executors as long as it lives
+        folder = tempfile.mkdtemp(prefix="larkspan-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = f"{folder}/larkspan-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(target)
+        sc._larkspan_sent = True
+    return df.mapInArrow(function, schema)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` as a written table in the shared folder: its lineage ends there, and no lost executor costs its rows.
 
