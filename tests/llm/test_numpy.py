@@ -106,31 +106,12 @@ def test_probabilities_sum_to_one(spark):
         while len(t) < 30:
             t.append({"a": "b", "b": r.choice("cd"), "c": "a", "d": r.choice("ad")}[t[-1]])
         texts.append(" ".join([*t, f"rare{r.randrange(900)}"]))
-    tree, counts = lm_scoring.train(docs_of(spark, texts).select("text"))
+    tree, _ = lm_scoring.train(docs_of(spark, texts).select("text"))
     assert len(tree.contexts[0][0]) >= 3 and len(tree.contexts) == 2
-    known = [w.encode() for w in sorted({x for t in texts for x in t.split()})]
-    rows = [f"{before} {w.decode()}" for before in ("a", "a b", "d d", "zz", "c") for w in [*known, b"unseen"]]
-    ends = {b: b for b in ("a", "a b", "d d", "zz", "c")}
-    d = spark.createDataFrame([(i, False, t) for i, t in enumerate([*rows, *ends])], "doc_id long, held_out boolean, text string")
-
-    def lp(text):
-        """The score of a text without its end: what the model gives in the middle."""
-        tokens, bounds = lm_scoring.tokens_of([text])
-        place, have, ids = tree.ids(tokens, bounds)
-        return place, have, ids
-
-    scores = {r["doc_id"]: r["score"] for r in lm_scoring.score(d, tree, counts).collect()}
-    assert len(scores) == len(rows) + len(ends)
-    # by the tree itself: all next symbols of a state
-    for k, (states, _) in enumerate(tree.contexts, 1):
-        for key in states:
-            suffix = [np.full(len(tree.words), s) for s in ([key] if k == 1 else [tree.contexts[0][0][0], key])]
-            if k == 2:
-                continue
-            p = 10 ** tree.parent(1, suffix, tree.common, np.arange(len(tree.words)))
-            at, _ = arrays.find(states, np.array([key]))
-            unseen = 10 ** tree.contexts[0][1][at[0]] * tree.v / (tree.n + tree.v)
-            assert p.sum() + unseen == pytest.approx(1, abs=1e-6)
+    states, weights = tree.contexts[0]
+    for key, weight in zip(states, weights, strict=True):
+        p = 10 ** tree.parent(1, [np.full(len(tree.words), key)], tree.common, np.arange(len(tree.words)))
+        assert p.sum() + 10**weight * tree.v / (tree.n + tree.v) == pytest.approx(1, abs=1e-6)
     assert (10**tree.root).sum() + tree.v / (tree.n + tree.v) == pytest.approx(1)
 
 
@@ -263,3 +244,11 @@ def test_pipeline(spark, sf_dir, docs):
         before, now = now, spark.createDataFrame(out.collect(), out.schema)
     assert now.count() == before.count()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_fingerprints_with_classes(spark):
+    texts = [(i, f"one two three four five six {i // 3}") for i in range(30)] + [(None, "x"), (4, "again and again and more")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = spark.createDataFrame([(i, i - i % 3) for i in range(30)], "doc_id long, class_id long")
+    rows = fingerprints.fingerprint_documents(d, classes).collect()
+    assert len(rows) == 32 and all(r["class_id"] == (None if r["doc_id"] is None else r["doc_id"] - r["doc_id"] % 3) for r in rows)
