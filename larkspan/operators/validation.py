@@ -53,10 +53,10 @@ def match(examples: DataFrame, responses: DataFrame) -> DataFrame:
     meet by place. Whether one does is known after an aggregate over both sides, narrow rows without texts.
     """
     e = entries(responses)
-    ids = examples.select("batch", "id")
-    hits = e.join(ids, ["batch", "id"], "left_semi").groupBy("batch").agg(F.count("*").alias("hits"))
-    sizes = ids.groupBy("batch").agg(F.count("*").alias("n")).join(e.groupBy("batch").agg(F.count("*").alias("m")), "batch").join(hits, "batch", "left")
-    by_place = sizes.select("batch", ((F.coalesce("hits", F.lit(0)) == 0) & (F.col("n") == F.col("m"))).alias("by_place"))
+    ids = examples.select("batch", F.col("id").alias("_id"))
+    met = e.join(ids.withColumnRenamed("batch", "_batch"), (F.col("batch") == F.col("_batch")) & (F.col("id") == F.col("_id")), "left")
+    hits = met.groupBy("batch").agg(F.count("*").alias("m"), F.count("_id").alias("hits"))
+    by_place = ids.groupBy("batch").agg(F.count("*").alias("n")).join(hits, "batch").select("batch", ((F.col("hits") == 0) & (F.col("n") == F.col("m"))).alias("by_place"))
     keyed = e.join(by_place, "batch")
     first = examples.join(keyed.where("NOT by_place").select("batch", "id", "entry"), ["batch", "id"])
     second = examples.join(keyed.where("by_place").select("batch", "place", "entry"), ["batch", "place"])

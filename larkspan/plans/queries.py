@@ -249,8 +249,11 @@ def _responses(data: DataFrame, shift: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def _match(spark: SparkSession, sf_dir: str, shift: bool) -> DataFrame:
-    data, replies = _responses(dataset(spark, sf_dir), shift)
-    out = validation.through(data.drop("batch", "place").unionByName(dataset(spark, sf_dir).where("source = 'template'")), lambda rows: validation.match(data.where("source <> 'template'"), replies))
+    base = dataset(spark, sf_dir).persist()
+    data, replies = _responses(base, shift)
+    data, replies = data.persist(), replies.persist()
+    rows = data.drop("batch", "place").unionByName(base.where("source = 'template'"))
+    out = validation.through(rows, lambda _: validation.match(data, replies))
     return out.select("id", joined("labels").alias("labels"), "risk", "rationale")
 
 
