@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Durable tables that are still there.
+_written: list[str] = []
 #: Words as the contracts define them: runs of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,7 +57,24 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._larkspan_path = path
+    _written.append(path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing reads any more; with none named, all that this process has written and not released.
+
+    The latter is for the start of a step whose input has been written by the step before.
+    """
+    paths = [t._larkspan_path for t in tables] or list(_written)
+    jvm = SparkSession.getActiveSession()._jvm
+    conf = SparkSession.getActiveSession()._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        _written.remove(path)
 
 
 def numbered(df: DataFrame) -> DataFrame:

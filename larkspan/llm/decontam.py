@@ -116,5 +116,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item."""
-    bad = find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    # written, so that its size is known and a small one is broadcast rather than texts shuffled
+    bad = durable(find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
