@@ -4,8 +4,8 @@ A text's shingles (five words, hashed to 64 bits) go through `PERMUTATIONS` univ
 upper half), whose minima over the text make its signature; 16 bits of each minimum are kept. The share of
 equal places of two signatures estimates the Jaccard similarity of their shingle sets.
 
-Numpy on Arrow batches, in chunks that fit a cache. Near duplicates: bands of a signature are joined in Spark with one
-hub for each band value, distinct texts only; candidates are verified by the Jaccard similarity of whole shingle sets.
+Numpy on Arrow batches, in chunks that fit a cache. Near duplicates: bands of signatures of distinct texts are joined in Spark,
+and candidates are verified by the Jaccard similarity of whole shingle sets.
 
 Defined cases: a null text is empty; texts without words have the fingerprint "" and are like each other (1) and
 nothing else (0); texts of fewer words than five are one shingle; ids of null come last in descending order,
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from larkspan.llm import jaccard_join
 from larkspan.llm.arrays import chunks, mix, words_of
 from larkspan.llm.common import durable, map_arrow
-from larkspan.llm.graph import components
 
-WORDS, PERMUTATIONS, ROWS = 5, 128, 4
+WORDS, PERMUTATIONS, ROWS = 5, 128, 6
 _seed = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 A, B = _seed[:PERMUTATIONS] | np.uint64(1), _seed[PERMUTATIONS:]
 _FACTORS = [pow(0xD6E8FEB86659FD93, 2 * k + 1, 1 << 64) for k in range(WORDS)]
@@ -70,35 +69,48 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, parts: int | None = None):
+#: Kinds of rows in the order in which those of one id stand; ends stand last in their range.
+NOTE, TEXT, END = 0, 1, 2
+
+
+def with_next(docs: DataFrame, notes: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Rows of doc_id and text in descending order within partitions, so that the next document's row follows each.
 
-    Ids are cut into ranges at approximate quantiles; each range ends with a copy of the next range's first row.
+    Ids are cut into ranges at approximate quantiles; each range ends with a copy of the next range's first row. Rows of
+    notes (doc_id, note), one for an id, come along, each ahead of its documents, so that these needn't be joined.
     """
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted(set(cuts or [0.0])), float("inf")]
     # descending: the range of the largest ids is the first, that of nulls the last
-    ranged = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
-    ranged = ranged.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - 1 - F.col("_b")).cast("int").alias("_b"), F.lit(False).alias("_end"))
+    bucket = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep")
+    place = F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - 1 - F.col("_b")).cast("int")
+    in_range = lambda df: bucket.transform(df.withColumn("_id", F.col("doc_id").cast("double"))).withColumn("_b", place)
+    none = F.lit(None)
+    ranged = in_range(docs).select("doc_id", "text", none.cast("long").alias("note"), F.lit(TEXT).alias("_kind"), "_b")
     order = F.struct(-F.coalesce("doc_id", F.lit(0)), F.col("text"))
     firsts = durable(ranged.groupBy("_b").agg(F.min_by(F.struct("doc_id", "text"), order).alias("f")))
     # a row for each range
     around = Window.orderBy("_b")
     nexts = firsts.select("_b", F.lead("f").over(around).alias("n"), F.first("f").over(around).alias("o")).select("_b", F.coalesce("n", "o").alias("n"))
-    ends = nexts.select("n.doc_id", "n.text", "_b", F.lit(True).alias("_end"))
-    return ranged.union(ends).repartition(parts, "_b").sortWithinPartitions("_b", "_end", F.desc_nulls_last("doc_id"), "text")
+    rows = ranged.union(nexts.select("n.doc_id", "n.text", none.cast("long").alias("note"), F.lit(END).alias("_kind"), "_b"))
+    if notes is not None:
+        rows = rows.union(in_range(notes).select("doc_id", F.lit("").alias("text"), "note", F.lit(NOTE).alias("_kind"), "_b"))
+    return rows.repartition(parts, "_b").sortWithinPartitions("_b", F.col("_kind") == END, F.desc_nulls_last("doc_id"), "_kind", "text").select("doc_id", "text", "note", "_kind")
+
 
+def fingerprint_documents(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id.
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    class_id is what classes (doc_id, class_id; one row for an id) has, the smallest doc_id of near duplicates; else null.
+    """
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
 
     def made(rows: list) -> pa.RecordBatch:
-        """rows: (id, text, next text)."""
-        ids, texts, nexts = zip(*rows, strict=True)
+        """rows: (id, text, class, next text)."""
+        ids, texts, notes, nexts = zip(*rows, strict=True)
         changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
         # next texts are mostly the following rows' own
         own, has = signatures([*texts, nexts[-1]])
@@ -118,30 +130,36 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 pa.array(text_of(new, new_has)),
                 pa.array(likeness(own[:-1], new, has[:-1], new_has)),
                 pa.array(likeness(own[:-1], other, has[:-1], other_has)),
+                pa.array(notes, pa.int64()),
             ],
             names,
         )
 
     def run(batches):
-        rows, size, last = [], 0, None
+        rows, size, last, note = [], 0, None, (None, None)
         for batch in batches:
-            for i, text, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for i, text, n, kind in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if kind == NOTE:
+                    note = (i, n)
+                    continue
                 if last is not None:
                     rows.append((*last, text))
                     size += len(last[1])
-                last = None if end else (i, text)
+                last = None if kind == END else (i, text, note[1] if note[0] == i else None)
                 if size > 1 << 19:
                     yield made(rows)
                     rows, size = [], 0
         if rows:
             yield made(rows)
 
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_arrow(with_next(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), run, schema)
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id bigint"
+    notes = classes.select("doc_id", F.col("class_id").alias("note")) if classes is not None else None
+    return map_arrow(with_next(docs.withColumn("doc_id", F.col("doc_id").cast("long")), notes), run, schema)
 
 
 def bands(docs: DataFrame) -> DataFrame:
     """sid, band: for each set of shingles, posted once in a partition, the values of its bands."""
+    n_bands = PERMUTATIONS // ROWS
 
     def run(batches):
         seen: set[int] = set()
@@ -156,22 +174,23 @@ def bands(docs: DataFrame) -> DataFrame:
                         seen.add(sid)
                         new.append(i)
                 if new:
-                    rows = np.ascontiguousarray(own[new]).view(np.uint64)  # four 16-bit places a band
-                    number = np.arange(rows.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.array([sids[i] for i in new], np.int64), rows.shape[1])), pa.array(mix(rows ^ number).ravel().view(np.int64))], ["sid", "band"]
-                    )
+                    values = own[new][:, : n_bands * ROWS].astype(np.uint64).reshape(len(new), n_bands, ROWS)
+                    hashes = np.broadcast_to(np.arange(n_bands, dtype=np.uint64), values.shape[:2])
+                    for k in range(ROWS):
+                        hashes = mix(hashes * np.uint64(0x100000001B3) + values[:, :, k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([sids[i] for i in new], np.int64), n_bands)), pa.array(hashes.ravel().view(np.int64))], ["sid", "band"])
 
     return map_arrow(docs.select("text"), run, "sid bigint, band bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id that verified candidates reach; texts without words are alone."""
+    """doc_id, class_id: the smallest doc_id that verified candidates reach; texts without words are alone.
+
+    Sets that share a band are candidates; all links between them count, found without all pairs of a band.
+    """
     sets = jaccard_join.sets_table(docs, WORDS)
-    rows = durable(bands(docs).distinct())
-    per = rows.groupBy("band").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi")).where("hub < hi")
-    pairs = durable(rows.join(per, "band").where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
-    roots = components(jaccard_join.verified(docs, WORDS, percent, pairs))
-    own = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
+    lists = durable(bands(docs).withColumnRenamed("band", "h"))
+    roots = jaccard_join.link_classes(docs, sets, WORDS, percent, lists)
+    own = sets.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return own.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

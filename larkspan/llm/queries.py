@@ -28,7 +28,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classes = fingerprints.near_duplicates(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return fingerprints.fingerprint_documents(docs).join(classes.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    return fingerprints.fingerprint_documents(docs, classes)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
