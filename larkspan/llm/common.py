@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -77,6 +78,12 @@ def release(*tables: DataFrame) -> None:
         _written.remove(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done, which it does as the driver forgets them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """`df`, written down, with a unique `_row`, so that what is found on narrow rows can be joined back to them."""
     return durable(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -1,17 +1,20 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Contexts are the last words before a token, up to `order`, of varying length: a context is a candidate if its occurrences
-make up at least LEAST of all training tokens, and knows the next words with which it makes up at least CONTINUED; it is
-retained if its next-symbol distribution diverges from that of its longest retained suffix - the log-likelihood
-that it gains over its own occurrences exceeds `gain` for each next word it knows. A token is scored in the longest retained suffix of what
+Contexts are the last words before a token, up to `order`, of varying length. An n-gram counts if it occurs `floor` times
+at least, whatever the size of the corpus, so what is kept grows with the input; a context is retained if its next-symbol
+distribution diverges from that of its suffix - the log-likelihood that it gains over its own occurrences exceeds
+`gain` for each next word it knows. A token is scored in the longest retained suffix of what
 precedes it. Distributions are smoothed by absolute discounting: what is discounted from a context's counts goes to
 its suffix's distribution, down to the root, where all unknown words together have V / (N + V), as in Witten-Bell smoothing,
 and the words share the rest in proportion to c + 1. So each state's probabilities sum to 1 over the V known words and the unknown one.
 
-Numpy on Arrow batches, in bounded chunks; words are 64-bit hashes. What is broadcast is bounded by parameters:
-words, contexts and continuations of at least a share p of all tokens, at most 1 / p for each length. Counts of
-all other words stay in a distributed table, and rare words of the documents are joined to it; they are
-next symbols only, and what their context makes of them is its weight for its suffix, which needs no count.
+A token's log probability is a sum: that of its word at the root, of each retained context before it the weight for the
+suffix, and for each n-gram that a retained context knows, its gain over these. So a document's score is a sum of one value
+for each n-gram it holds, and contexts and continuations are tables of key and value, joined with the documents' n-grams.
+
+Numpy on Arrow batches, in bounded chunks; words and n-grams are 64-bit hashes. What is broadcast is bounded by parameters and
+saves work only: the head of the tables (words and n-grams of at least a share p of all tokens, at most 1 / p for
+each length) and filters of fixed size over the keys of the rest. All else stays in distributed tables.
 
 Defined cases: a null text is empty and has the end token alone; ids of null train, by an empty id; rows are told
 apart by a generated number, so tied and repeated rows are scored each for itself; with no training tokens N and V
@@ -26,16 +29,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.arrays import Counter, chunks, find, mix, summed, words_of
-from larkspan.llm.common import durable, map_arrow
+from larkspan.llm.common import collect_garbage, durable, map_arrow, release
 
 #: The end of a text, a symbol beside the words.
 END = np.uint64(0x656E64656E64656E)
+#: What stands before the first word, a context only.
+START = np.uint64(0x7374617274737461)
+#: Shares of all tokens from which words and n-grams are broadcast.
 FREQUENT = 1e-6
-LEAST = 1e-4
-CONTINUED = 4e-6
+HEAD = 4e-6
+#: Occurrences that make an n-gram count.
+FLOOR = 2
 ORDER = 2
 DISCOUNT = 0.75
 GAIN = 2.0
+#: 64-bit words of a filter.
+SLOTS = 1 << 21
+#: Parts, by key, in which documents' n-grams are looked up one after the other, so that less is shuffled at a time.
+PARTS = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,190 +87,213 @@ def gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[at], n[at]
 
 
+def gathered_values(df: DataFrame) -> list[np.ndarray]:
+    """Keys in order and values of a table key, value. Only for what a share of all tokens bounds."""
+    t = df.toArrow()
+    keys, values = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
+    at = np.argsort(keys)
+    return [keys[at], values[at]]
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of SLOTS words over the column key: two bits of one word for each."""
+    bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {at}) & 63 as int))")
+    slots = keys.groupBy(F.expr(f"cast(key & {SLOTS - 1} as int)").alias("slot")).agg(F.bit_or(bit(21).bitwiseOR(bit(27))).alias("bits"))
+    # at most SLOTS rows
+    t = slots.toArrow()
+    out = np.zeros(SLOTS, np.uint64)
+    out[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for a key that isn't in the filter."""
+    one = np.uint64(1)
+    bits = (one << ((keys >> np.uint64(21)) & np.uint64(63))) | (one << ((keys >> np.uint64(27)) & np.uint64(63)))
+    return bloom[(keys & np.uint64(SLOTS - 1)).astype(np.int64)] & bits == bits
+
+
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from those of its first n - 1 symbols and of its last n - 1."""
+    return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) ^ (suffix * np.uint64(0x100000001B3)))
+
+
+def grams(tokens: np.ndarray, bounds: np.ndarray, order: int):
+    """For each length of context up to `order`: of each token the keys of its context, of the n-gram without the first
+    symbol and of the n-gram, and whether so much precedes it."""
+    since = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
+    key = tokens
+    for length in range(1, order + 1):
+        context = np.empty_like(key)
+        context[1:] = key[:-1]
+        context[since == 0] = START
+        suffix, key = key, joined(context, key)
+        yield context, suffix, key, since >= length - 1
+
+
 class Tree:
-    """States by the hash of their context, and continuations by the hash of context and word."""
+    """The frequent words, and of contexts and n-grams the head of what they add to a log probability."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
         self.words, self.counts, self.n, self.v = words, counts, n, v
         self.root = np.log10((counts + 1) * (n / (n + v) ** 2)) if n else np.zeros(len(words))
         self.base = np.log10((counts + 1) / (n + v + 1))
-        common = counts >= max(1.0, CONTINUED * n)
-        #: id of a word among the common ones, 1 up; 0: not common. The start of a text, a context only, comes after them.
-        self.common = np.where(common, np.cumsum(common), 0)
-        self.start = int(common.sum()) + 1
-        #: by id, whether a context may hold it
-        self.eligible = np.concatenate([[False], counts[common] >= LEAST * n, [True]]).astype(bool)
+        #: by place, what a word is in keys
+        self.common = words
         self.contexts: list[list[np.ndarray]] = []  # for each length: keys, log10 of the weight for the suffix
-        self.next: list[list[np.ndarray]] = []  # for each length: keys of context and word, log10 probability
-        self.candidates = np.empty(0, np.uint64)  # contexts of the length to be counted next, as packed symbols
-
-    def ids(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token its place among the frequent words, whether it has one, and its common id."""
-        at, known = find(self.words, tokens)
-        return at, known, np.where(known, self.common[at], 0) if len(self.words) else np.zeros(len(tokens), np.int64)
-
-    def context(self, ids: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the key of the `length` symbols before it, and whether a context may hold them all."""
-        first = np.zeros(len(ids), bool)
-        first[bounds[:-1]] = True
-        since = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-        key, ok = np.full(len(ids), length, np.uint64), np.ones(len(ids), bool)
-        for back in range(1, length + 1):
-            sym = np.zeros(len(ids), np.int64)
-            sym[back:] = ids[:-back] if back < len(ids) else 0
-            sym = np.where(since >= back, sym, np.where(since == back - 1, self.start, 0))
-            ok &= self.eligible[sym]
-            key = mix(key * np.uint64(0x100000001B3) + sym.astype(np.uint64))
-        return key, ok
-
-    @staticmethod
-    def joined(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return mix(context ^ (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        self.next: list[list[np.ndarray]] = []  # for each length: keys of context and word, log10 of the gain over weight and suffix
+        self.tail: np.ndarray = np.zeros(SLOTS, np.uint64)  # filter of n-grams beyond the head
 
     def parent(self, length: int, suffix: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 probability of words after the suffix of `length`, whether or not that is a state."""
-        out = np.zeros(len(suffix[0]) if length else len(word))
-        open_ = np.ones(len(out), bool)
-        for k in range(length, 0, -1):
-            if k > len(self.contexts):
-                continue
-            at, have = find(self.next[k - 1][0], self.joined(suffix[k - 1], word))
-            got = open_ & have & (word > 0)
-            out[got] += self.next[k - 1][1][at[got]] if got.any() else 0.0
-            open_ &= ~got
-            at, have = find(self.contexts[k - 1][0], suffix[k - 1])
-            down = open_ & have
-            if down.any():
-                out[down] += self.contexts[k - 1][1][at[down]]
-        if len(self.root):
-            out[open_] += self.root[place[open_]]
+        """log10 probability of words after the suffix of `length`, as far as the head knows; suffix[k - 1]: the key of its last k symbols."""
+        out, key = self.root[place].copy(), word
+        for k in range(1, length + 1):
+            key = joined(suffix[k - 1], key)
+            for table, keys in ((self.contexts[k - 1], suffix[k - 1]), (self.next[k - 1], key)):
+                at, have = find(table[0], keys)
+                if have.any():
+                    out[have] += table[1][at[have]]
         return out
 
 
-def _symbols(tree: Tree, length: int):
-    """For `count` of n-grams whose symbols must be told apart: the common ids of context and word, 20 bits each."""
+def count_grams(texts: DataFrame, length: int, known=None) -> DataFrame:
+    """c, s, n: how often a word follows a context of `length`, by the keys of the context and of the n-gram without its first symbol.
 
-    def keys(tokens, bounds):
-        _, _, ids = tree.ids(tokens, bounds)
-        packed, ok = ids.astype(np.uint64), ids > 0
-        key, within = tree.context(ids, bounds, length)
-        ok &= within
-        since = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-        for back in range(1, length + 1):
-            sym = np.zeros(len(ids), np.int64)
-            sym[back:] = ids[:-back] if back < len(ids) else 0
-            sym = np.where(since >= back, sym, np.where(since == back - 1, tree.start, 0))
-            packed |= sym.astype(np.uint64) << np.uint64(20 * back)
-        if length > 1:
-            ok &= find(tree.candidates, packed >> np.uint64(20))[1]
-        return packed[ok]
-
-    return keys
+    known: a broadcast filter of the shorter n-grams that count; others are part of none that does.
+    """
 
+    def run(batches):
+        for batch in batches:
+            part = batch.column(0).to_pylist()
+            for a, b in chunks(part):
+                *_, (context, suffix, key, ok) = grams(*tokens_of(part[a:b]), length)
+                at = np.flatnonzero(ok & maybe(known.value, context) & maybe(known.value, suffix) if known is not None else ok)
+                _, first, n = np.unique(key[at], return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(n.astype(np.int64))], ["c", "s", "n"])
 
-def _key(symbols: list[np.ndarray]) -> np.ndarray:
-    """The key that Tree.context gives to symbols, nearest first."""
-    key = np.full(len(symbols[0]), len(symbols), np.uint64)
-    for sym in symbols:
-        key = mix(key * np.uint64(0x100000001B3) + sym.astype(np.uint64))
-    return key
+    return map_arrow(texts, run, "c bigint, s bigint, n bigint").groupBy("c", "s").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN) -> tuple[Tree, DataFrame]:
-    """The tree and the table of all words' counts (h, n), from a table of the column text."""
-    shared = texts.sparkSession.sparkContext.broadcast
+def with_keys(counted: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            c, s = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined(c, s).view(np.int64))], ["c", "s", "n", "key"])
+
+    return map_arrow(counted, run, "c bigint, s bigint, n bigint, key bigint")
+
+
+def level(counted: DataFrame, below: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
+    """Contexts that are retained (key, n, value: log10 of the weight for the suffix), and n-grams: key, n, log10 probability lp,
+    and value, what that is above weight and suffix; null where the context isn't retained and the suffix decides.
+
+    counted: c, s, n; below: key, n, lp of all n-grams shorter by one.
+    """
+    # by suffix first, then by context: what follows stays dealt by it
+    rows = with_keys(counted).join(below.select(F.col("key").alias("s"), F.col("lp").alias("parent")), "s")
+    rows = durable(rows.join(below.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").select("c", "key", "n", "parent", "total"))
+    weight = rows.groupBy("c").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("weight"))
+    log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
+    own = rows.join(weight, "c").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("weight") * F.pow(F.lit(10.0), "parent"))
+    more = own.groupBy("c").agg(
+        F.first("weight").alias("weight"),
+        F.max("total").alias("n"),
+        F.count("*").alias("next"),
+        (F.sum(F.col("n") * (log(F.col("p")) - F.col("parent") * np.log(10))) + (F.max("total") - F.sum("n")) * F.log(F.greatest(F.first("weight"), F.lit(1e-12)))).alias("more"),
+    )
+    contexts = durable(more.where(F.col("more") > gain * F.col("next")).select(F.col("c").alias("key"), "n", F.log10(F.greatest("weight", F.lit(1e-12))).alias("value"), "weight"))
+    told = rows.join(contexts.select(F.col("key").alias("c"), "value", "weight"), "c", "left")
+    p = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.col("weight") * F.pow(F.lit(10.0), "parent"))
+    known = durable(told.select("key", "n", F.coalesce(p, "parent").alias("lp"), (p - F.col("value") - F.col("parent")).alias("value")))
+    release(rows)
+    return contexts, known
+
+
+def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN, floor: int = FLOOR) -> tuple[Tree, tuple[DataFrame, list[DataFrame]]]:
+    """The tree, the table of all words' counts and weights as contexts (h, n, value), and tables of key and value of n-grams
+    beyond the head, from a table of the column text."""
+    spark = texts.sparkSession
     counts = durable(count(texts, lambda tokens, _: tokens))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
     # at most 1 / FREQUENT words
     tree = Tree(*gathered(counts.where(F.col("n") >= FREQUENT * n)), n, v)
-    place = np.flatnonzero(tree.common > 0)
-    place = np.concatenate([[0], place, [0]]).astype(np.int64)
-    end_at, has_end = find(tree.words, np.array([END]))
-    ends = tree.counts[end_at[0]] if has_end[0] else 0
-    #: how often a symbol occurs, by common id; the start as often as the end
-    seen = np.concatenate([[0], tree.counts[place[1:-1]] if n else [], [ends]]).astype(float)
-    if len(place) > 1 << 20 or order > 2:
-        raise ValueError("a key has room for three symbols of 20 bits")
-    mask = np.uint64((1 << 20) - 1)
-    before: dict | None = None  # packed context to its count, sorted
+    if not n:
+        return tree, (counts.withColumn("value", F.lit(None).cast("double")), [])
+    end = np.array([END]).view(np.int64)[0].item()
+    start = np.array([START]).view(np.int64)[0].item()
+    # a text has one start and one end
+    starts = counts.where(F.col("h") == end).select(F.lit(start).alias("key"), "n", F.lit(0.0).alias("lp"))
+    below = counts.select(F.col("h").alias("key"), "n", F.log10((F.col("n") + 1) * F.lit(n / (n + v) ** 2)).alias("lp")).union(starts)
+    tables, known = [], None
     for length in range(1, order + 1):
-        if length > 1 and not len(tree.candidates):
-            break
-        hold = shared(tree)
-        grams, c = gathered(count(texts, lambda t, b, k=length, hold=hold: _symbols(hold.value, k)(t, b)).where(F.col("n") >= CONTINUED * n))
-        context, word = grams >> np.uint64(20), (grams & mask).astype(np.int64)
-        symbols = [((context >> np.uint64(20 * k)) & mask).astype(np.int64) for k in range(length)]
+        collect_garbage(spark)
+        contexts, below = level(count_grams(texts, length, known).where(F.col("n") >= floor), below, gain)
+        head = (F.col("n") >= (HEAD if length > 1 else FREQUENT) * n) | (F.col("key") == start)
+        tree.contexts.append(gathered_values(contexts.where(head).select("key", "value")))
+        tree.next.append(gathered_values(below.where((F.col("n") >= HEAD * n) & F.col("value").isNotNull()).select("key", "value")))
         if length == 1:
-            occurs = seen[symbols[0]]
+            weights = contexts.where(F.col("n") < FREQUENT * n).select(F.col("key").alias("h"), "value")
         else:
-            at, _ = find(before[0], context)
-            occurs = before[1][at].astype(float)
-        suffix = [_key(symbols[:k]) for k in range(1, length)]
-        log_parent = tree.parent(length - 1, suffix, word, place[word]) if len(word) else np.empty(0)
-        parent = 10.0**log_parent
-        heads, inverse = np.unique(context, return_inverse=True)
-        explicit = np.bincount(inverse, c - DISCOUNT, len(heads))
-        total = np.zeros(len(heads))
-        total[inverse] = occurs
-        total = np.maximum(total, np.bincount(inverse, c, len(heads)))
-        weight = 1 - explicit / np.maximum(total, 1)
-        p = (c - DISCOUNT) / total[inverse] + weight[inverse] * parent if len(c) else np.empty(0)
-        known = np.bincount(inverse, c, len(heads))
-        more = np.bincount(inverse, c * np.log(np.maximum(p, 1e-300) / np.maximum(parent, 1e-300)), len(heads)) + (total - known) * np.log(np.maximum(weight, 1e-12))
-        retained = more > gain * np.bincount(inverse, minlength=len(heads))
-        own = retained[inverse] if len(c) else np.zeros(0, bool)
-        keys = _key(symbols) if len(c) else np.empty(0, np.uint64)
-        state, first = np.unique(keys[own], return_index=True)
-        follow = Tree.joined(keys[own], word[own])
-        sort = np.argsort(follow)
-        tree.contexts.append([state, np.log10(np.maximum(weight[inverse][own][first], 1e-12)) if len(first) else np.empty(0)])
-        tree.next.append([follow[sort], np.log10(p[own][sort])])
-        # an n-gram that is frequent enough is a candidate for a context: its symbols, the last nearest
-        ended = word == tree.common[end_at[0]] if has_end[0] else np.zeros(len(word), bool)
-        going = (c >= LEAST * n) & tree.eligible[word] & ~ended
-        before = (grams[going], c[going])
-        tree.candidates = grams[going]
-    return tree, counts
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+            tables.append(contexts.where(F.col("n") < HEAD * n).select("key", "value"))
+        tables.append(below.where((F.col("n") < HEAD * n) & F.col("value").isNotNull()).select("key", "value"))
+        if length < order:
+            known = spark.sparkContext.broadcast(filter_of(below.select("key")))
+    for t in tables:
+        tree.tail |= filter_of(t.select("key"))
+    collect_garbage(spark)
+    return tree, (counts.join(weights, "h", "left") if order else counts.withColumn("value", F.lit(None).cast("double")), tables)
+
+
+def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of rows with doc_id, held_out, text."""
+    counts, far = tables
     hold = docs.sparkSession.sparkContext.broadcast(tree)
 
+    def lists(keys, ends):
+        """The distinct keys of each text, and how often it has them."""
+        each = [summed(keys[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        h, n = (np.concatenate([x[i] for x in each]) for i in (0, 1))
+        flat = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[0]) for x in each]]).astype(np.int32)), flat)
+
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
                 t = hold.value
                 tokens, bounds = tokens_of(texts[a:b])
-                place, known, ids = t.ids(tokens, bounds)
-                lp, open_ = np.zeros(len(tokens)), np.ones(len(tokens), bool)
-                for k in range(len(t.contexts), 0, -1):
-                    key, ok = t.context(ids, bounds, k)
-                    at, state = find(t.contexts[k - 1][0], key)
-                    state &= ok & open_
-                    hit_at, hit = find(t.next[k - 1][0], t.joined(key, ids))
-                    hit &= state & (ids > 0)
-                    if hit.any():
-                        lp[hit] += t.next[k - 1][1][hit_at[hit]]
-                    open_ &= ~hit
-                    down = state & ~hit
-                    if down.any():
-                        lp[down] += t.contexts[k - 1][1][at[down]]
-                rooted = open_ & known
-                if rooted.any():
-                    lp[rooted] += t.root[place[rooted]]
+                place, known = find(t.words, tokens)
+                lp = np.zeros(len(tokens))
+                if known.any():
+                    lp[known] += t.root[place[known]]
+                far, seen = [], []
+
+                def add(table, keys, ok, lp=lp):
+                    at, have = find(table[0], keys)
+                    have &= ok
+                    if have.any():
+                        lp[have] += table[1][at[have]]
+
+                if t.contexts:
+                    # a word's weight as the context of what follows it, and that of the start
+                    add(t.contexts[0], tokens, known)
+                    at, have = find(t.contexts[0][0], np.array([START]))
+                    lp[bounds[:-1]] += t.contexts[0][1][at[0]] if have[0] else 0.0
+                for k, (_, _, key, ok) in enumerate(grams(tokens, bounds, len(t.next))):
+                    add(t.next[k], key, ok)
+                    if k + 1 < len(t.contexts):
+                        add(t.contexts[k + 1], key, ok)
+                    where = np.flatnonzero(ok & maybe(t.tail, key))
+                    far.append(key[where])
+                    seen.append(where)
                 of = np.repeat(np.arange(b - a), np.diff(bounds))
                 base = np.bincount(of[known], t.base[place[known]], b - a) if known.any() else np.zeros(b - a)
                 rare, ends = tokens[~known], np.concatenate(([0], np.cumsum(~known)))[bounds]
-                values, n, sizes = [], [], []
-                for i in range(b - a):
-                    h, c = summed(rare[ends[i] : ends[i + 1]])
-                    values.append(h)
-                    n.append(c)
-                    sizes.append(len(h))
-                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(n).astype(np.int32))], ["h", "n"])
+                seen = np.concatenate([np.empty(0, np.int64), *seen])
+                far = np.concatenate([np.empty(0, np.uint64), *far])[np.argsort(seen, kind="stable")]
+                far_ends = np.searchsorted(np.sort(seen), bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
@@ -268,13 +302,14 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                         pa.array(np.bincount(of[known], minlength=b - a).astype(np.int64)),
                         pa.array(base),
                         pa.array(np.bincount(of, lp, b - a)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat),
+                        lists(rare, ends),
+                        lists(far, far_ends),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare"],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare", "far"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(docs.select("doc_id", "held_out", "text"), run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, rare array<struct<h:bigint,n:int>>")
+    rows = map_arrow(docs.select("doc_id", "held_out", "text"), run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, rare array<struct<h:bigint,n:int>>, far array<struct<h:bigint,n:int>>")
     rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
     n, v = tree.n, tree.v
     asked = rows.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.h").alias("h"), F.col("r.n").alias("m"))
@@ -283,10 +318,19 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     root = F.log10(F.when(F.col("c") > 0, (F.col("c") + 1) * F.lit(n / (n + v) ** 2)).otherwise(F.lit(v / (n + v)))) if n else F.lit(0.0)
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     sums = told.groupBy("_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * base).alias("b"), F.sum(F.col("m") * root).alias("s")
+        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * base).alias("b"), F.sum(F.col("m") * (root + F.coalesce("value", F.lit(0.0)))).alias("s")
     )
-    out = rows.drop("rare").join(sums, "_row", "left")
+    out = rows.drop("rare", "far").join(sums, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
+    for part in range(PARTS if far else 0):
+        own = lambda key: F.pmod(F.col(key), F.lit(PARTS)) == part  # noqa: E731, B023
+        asked = rows.select("_row", F.explode("far").alias("r")).select("_row", F.col("r.h").alias("key"), F.col("r.n").alias("m")).where(own("key"))
+        values = far[0]
+        for t in far[1:]:
+            values = values.union(t)
+        more = durable(asked.join(values.where(own("key")), "key").groupBy("_row").agg(F.sum(F.col("m") * F.col("value")).alias("far")))
+        out = out.join(more, "_row", "left").withColumn("lp", F.col("lp") + zero("far")).drop("far")
+        collect_garbage(docs.sparkSession)
     return out.select(
         "doc_id",
         "held_out",
@@ -301,5 +345,5 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, **options) -> DataFrame:
     """Scores of all documents, learned from those that aren't held out."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    tree, counts = train(rows.where(~F.col("held_out")).select("text"), **options)
-    return score(rows, tree, counts)
+    tree, tables = train(rows.where(~F.col("held_out")).select("text"), **options)
+    return score(rows, tree, tables)
