@@ -500,7 +500,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = with_splits(spark, sf_dir)
-    model = baseline.train(data.where("split = 'train'"), "doc_id", trees=5, depth=3, max_features=200)
+    model = baseline.train(data.where("split = 'train'"), "doc_id")
     return model.predict(data.where("split = 'test'"), "doc_id").select("doc_id", joined("labels").alias("labels"), "risk", "rationale")
 
 
