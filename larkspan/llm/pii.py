@@ -1,19 +1,19 @@
 """Personal data, by patterns and by information-theoretic sanitisation.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; their values are the protected
-entities. Words near an entity may reveal it even where it is masked: over the corpus, a term t that
-stands within `window` code points of an entity e discloses PMI(t; e) of the IC(e) bits that e holds,
+entities. Words beside an entity may reveal it even where it is masked: over the corpus, a term t that
+stands in documents with an entity e discloses PMI(t; e) of the IC(e) bits that e holds,
 
-    PMI(t; e) / IC(e) = log(N df(t, e) / (df(t) df(e))) / log(N / df(e)),
+    PMI(t; e) / IC(e) = 1 + log(P(e | t)) / log(N / df(e)), P(e | t) = (df(t, e) + a df(e) / N) / (df(t) + a),
 
-where df counts documents: df(e) and df(t, e) those with the entity and with the term near it, df(t) those
-with the term anywhere. The ratio is 1 for a term that occurs with e only, about 0 for one that is
+where df counts whole documents with the entity, the term or both, and `smoothing` a draws the estimate
+for rare terms to what the entity has anywhere. The ratio is near 1 for a term that occurs with e only, about 0 for one that is
 independent of it. Terms at `remove` or above are removed, those from `generalise` up are
-generalised; pairs seen in fewer than `support` documents tell nothing and are left.
+generalised, wherever they stand in a document that holds the entity.
 
-Native. Texts are read twice: for spans with their surroundings, which are written down, and for df(t), a
-count with map-side combination. Pairs are taken from windows, so they grow with the mentions of entities,
-not with the square of anything; a hot entity only adds to counts.
+Native. Texts are read twice: for spans, which are written down with the texts that have some, and for df(t), a
+count with map-side combination. A term can reach `generalise` only up to a df(t) that follows from df(e), so
+frequent ones are left out before pairs are made; the pairs of a document are its values times its rarer terms.
 
 Defined cases: a null text is empty; rows are told apart by a generated number, so null, tied and repeated
 ids don't mix; an empty table gives none; the work on a long text grows in proportion to it.
@@ -77,55 +77,47 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_found(text, k) for k in KINDS]))
 
 
-def scan(docs: DataFrame, window: int = 120, keep_text: bool = False) -> DataFrame:
-    """_row, doc_id, base spans, and near: for each span the text that surrounds it and where that begins."""
+def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """_row, doc_id, base spans, their entities and the text, which is null without keep_text where no span is."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text"), base_spans(text).alias("base"))
-    side = lambda a, b: F.struct(a.alias("at"), F.substr("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("piece"))
-    near = F.transform(
-        "base",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits(s["value"]))).alias("entity"),
-            F.array(side(F.greatest(s["start"] - window, F.lit(0).cast("long")), s["start"]), side(s["end"], s["end"] + window)).alias("sides"),
-        ),
-    )
-    cols = ["_row", "doc_id", "base", "near", *(["text"] if keep_text else [])]
-    return durable(found.withColumn("near", near).withColumn("_row", F.monotonically_increasing_id()).select(*cols))
-
-
-def _terms(side: Column, left: Column, window: int) -> Column:
-    """The words of a side, with offsets; one that its border may have cut is left out."""
-    words = matches(side["piece"], TERM)
-    whole = lambda w: F.when(left, (w["start"] > 0) | (side["at"] == 0)).otherwise(w["end"] < window)
-    return F.transform(F.filter(words, whole), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + side["at"]).alias("start"), (w["end"] + side["at"]).alias("end")))
-
-
-def disclosures(docs: DataFrame, scanned: DataFrame, window: int = 120, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
-    """_row, start, end, action, ratio: the spans of terms that disclose an entity near them."""
-    mentions = scanned.where(F.size("near") > 0).select("_row", F.explode("near").alias("m")).select("_row", "m.entity", "m.sides")
-    shared = mentions.select("_row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
-    around = mentions.join(shared, "entity").select(
-        "_row", "entity", "df_e", F.explode(F.concat(*[_terms(F.get("sides", F.lit(i)), F.lit(i == 0), window) for i in (0, 1)])).alias("t")
-    )
-    around = durable(around.select("_row", "entity", "df_e", "t.*"))
-    # a term that belongs to a protected value isn't a term beside it
-    pairs = around.select("_row", "entity", "df_e", "term").distinct().groupBy("entity", "df_e", "term").agg(F.count("*").alias("df_te")).where(F.col("df_te") >= support)
+    name = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits(s["value"])))
+    held = found.withColumn("entities", F.array_distinct(F.transform("base", name))).withColumn("_row", F.monotonically_increasing_id())
+    return durable(held.select("_row", "doc_id", "base", "entities", (F.col("text") if keep_text else F.when(F.size("base") > 0, F.col("text"))).alias("text")))
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame, smoothing: float = 1.0, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+    """_row, start, end, action, ratio: the spans of terms that disclose an entity of their document."""
+    held = scanned.where(F.size("base") > 0)
+    n = scanned.count()
+    mentions = held.select("_row", F.explode("entities").alias("entity"))
+    # P(e | t) is at least (N / df_e) ^ (generalise - 1), and at most what df_te = df_e gives
+    most = F.col("df_e") * (1 + smoothing / max(n, 1)) * F.pow(F.lit(float(n)) / F.col("df_e"), F.lit(1 - generalise)) - smoothing
+    df_e = mentions.groupBy("entity").agg(F.count("*").alias("df_e")).withColumn("most", most + 1e-6)
+    mentions = durable(mentions.join(df_e, "entity"))
+    reach = mentions.groupBy("_row").agg(F.max("most").alias("most"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     df_t = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("df_t"))
-    n = scanned.agg(F.count("*").alias("n"))
-    ic = F.log(F.col("n") / F.col("df_e"))
-    pmi = F.log(F.col("n") * F.col("df_te") / (F.greatest("df_t", "df_te") * F.col("df_e")))
-    # n is one row
-    rated = pairs.join(df_t, F.xxhash64("term") == F.col("h")).join(F.broadcast(n)).withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("ratio") >= generalise)
-    hits = around.join(rated.select("entity", "term", "ratio"), ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("ratio").alias("ratio"))
+    said = held.join(reach, "_row").select("_row", "most", F.explode(matches(F.col("text"), TERM)).alias("w"))
+    said = said.select("_row", "most", F.xxhash64(F.lower("w.value")).alias("h"), "w.start", "w.end")
+    said = said.join(df_t, "h").where(F.col("df_t") <= F.col("most")).drop("most")
+    # a term that belongs to a protected value isn't a term beside it
+    spans = held.select("_row", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("base"))
+    said = durable(said.join(spans, "_row").where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base"))
+    pairs = said.select("_row", "h", "df_t").distinct().join(mentions, "_row").where(F.col("df_t") <= F.col("most")).select("_row", "entity", "df_e", "h", "df_t")
+    given = (F.col("df_te") + F.lit(smoothing) * F.col("df_e") / n) / (F.col("df_t") + F.lit(smoothing))
+    ic = F.log(F.lit(float(n)) / F.col("df_e"))
+    rated = pairs.groupBy("entity", "df_e", "h", "df_t").agg(F.count("*").alias("df_te")).withColumn("ratio", F.when(ic > 0, 1 + F.log(given) / ic).otherwise(0.0))
+    rated = rated.where(F.col("ratio") >= generalise).select("entity", "h", "ratio")
+    best = pairs.join(rated, ["entity", "h"]).groupBy("_row", "h").agg(F.max("ratio").alias("ratio"))
+    hits = said.join(best, ["_row", "h"]).select("_row", "start", "end", "ratio")
     return hits.withColumn("action", F.when(F.col("ratio") >= remove, "term_removed").otherwise("term_generalised"))
 
 
-def find_personal_data(docs: DataFrame, window: int = 120, keep_text: bool = False, **thresholds) -> DataFrame:
+def find_personal_data(docs: DataFrame, keep_text: bool = False, **thresholds) -> DataFrame:
     """doc_id, base and spans: what patterns find, and that with the disclosing terms that don't overlap it."""
-    scanned = scan(docs, window, keep_text)
-    terms = disclosures(docs, scanned, window, **thresholds)
+    scanned = scan(docs, keep_text)
+    terms = disclosures(docs, scanned, **thresholds)
     added = terms.groupBy("_row").agg(
         F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.col("action").alias("kind"), F.lit("").alias("value"))).alias("added")
     )

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.functions.schema import LABELS
-from larkspan.llm import lm_scoring
+from larkspan.llm import lm_scoring, pii
 from larkspan.operators import baseline, tfidf
 from larkspan.plans import registry
 
@@ -91,3 +91,14 @@ def test_baseline_query_trains_the_whole_model(spark, sf_dir, monkeypatch):
     rows = registry.QUERIES["baseline_predict"](spark, sf_dir).collect()
     assert len(asked) == len(LABELS) + 1 and set(asked) == {(100, 6)} and sizes == [5000]
     assert rows and all((r["risk"] == "LOW") == (r["rationale"] == "") for r in rows)
+
+
+def test_terms_far_from_a_value_and_of_rare_values(spark):
+    far = "some plain words here " * 60
+    texts = [f"zorblatt began it. {far} write to jo@corp.example {far} zorblatt ended it" for _ in range(3)]
+    texts += [f"only here quuxly met al@corp.example {far}"] + [f"{far} and more of it {i % 3}" for i in range(300)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()}
+    for i in range(3):
+        assert clean[i] == texts[i].replace("zorblatt", "").replace("began", "").replace("ended", "").replace("write", "").replace("to jo@corp.example", " [EMAIL]")
+    assert "quuxly" not in clean[3] and far in clean[3]
+    assert all(clean[i] == texts[i] for i in range(4, len(texts)))
