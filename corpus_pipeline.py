@@ -3,7 +3,7 @@
 Language identification drops documents whose language can't be told, the similarity join keeps one document of
 each group of near copies (five words, 0.8), decontamination drops documents that hold benchmark items, mixing
 draws documents to the sources' target weights in the order of the curriculum (a document may come more
-than once), and sharding cuts the rest into shards of equal bytes.
+than once), and sharding cuts them in that order, which the written table keeps, into shards of equal bytes.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release()  # what the stage before has written in between
-    return sharding.shard_with_texts(docs)
+    return sharding.shard_in_order(docs)
 
 
 STAGES = [

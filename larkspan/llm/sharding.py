@@ -6,6 +6,9 @@ makes a document's global offset, and the axis of bytes is cut at equal targets.
 that a cut would part goes whole to the shard of its middle if it is small beside a shard
 (`group_tolerance`); a larger one is parted, as shards could not be equal otherwise.
 
+Where the rows have an order of their own (the pipeline's curriculum), `shard_in_order` cuts the axis of bytes along it instead;
+copies then stay where the order has them.
+
 Native; a hot group of texts spreads over range partitions, since the id's hash is part of the order.
 Collected or broadcast: one row for each partition or shard, never one for each document.
 
@@ -15,6 +18,9 @@ placed like others (rows that agree in everything are interchangeable); an empty
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +28,31 @@ from larkspan.llm.common import durable, numbered, prefix_sums
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
+#: Columns of the order in which rows were written; part files are numbered, with more digits beyond 99999.
+ORDER = ("_digits", "_file", "_at")
 
 
-def assign_shards(keys: DataFrame, shards: int, group_tolerance: float = 0.02) -> DataFrame:
-    """Adds shard and slot to rows with size, text_hash, id_hash and doc_id. Other columns come along."""
-    order = ["text_hash", "id_hash", "doc_id"]
+def assign_shards(keys: DataFrame, shards: int, group_tolerance: float = 0.02, order: Sequence[str] = ()) -> DataFrame:
+    """Adds shard and slot to rows with size, text_hash, id_hash and doc_id. Other columns come along.
+
+    order: columns to follow in place of the hashes; groups of equal texts aren't kept together then.
+    """
+    by_hash = not order
+    order = list(order) or ["text_hash", "id_hash", "doc_id"]
     at = durable(prefix_sums(keys, [], order, "size"))
     whole = at.agg(F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("_whole"))
     cut = lambda middle2: F.least(F.lit(shards - 1), F.expr(f"cast(({middle2}) * {shards} div greatest(2 * _whole, 1) as int)"))
     # one row, the total of all bytes
     placed = at.join(F.broadcast(whole)).withColumn("shard", cut("2 * before + size"))
-    # a group that spans shards holds one of the cuts, so there are fewer of these than shards
-    parted = (
-        placed.groupBy("text_hash", "_whole")
-        .agg(F.min("shard").alias("_a"), F.max("shard").alias("_b"), F.sum("size").alias("_g"), F.min("before").alias("_from"))
-        .where((F.col("_a") < F.col("_b")) & (F.col("_g") * shards <= group_tolerance * F.col("_whole")))
-        .select(F.col("text_hash").alias("_h"), cut("2 * _from + _g").alias("_to"))
-    )
-    placed = placed.join(F.broadcast(parted), F.col("text_hash") == F.col("_h"), "left").withColumn("shard", F.coalesce("_to", "shard"))
+    if by_hash:
+        # a group that spans shards holds one of the cuts, so there are fewer of these than shards
+        parted = (
+            placed.groupBy("text_hash", "_whole")
+            .agg(F.min("shard").alias("_a"), F.max("shard").alias("_b"), F.sum("size").alias("_g"), F.min("before").alias("_from"))
+            .where((F.col("_a") < F.col("_b")) & (F.col("_g") * shards <= group_tolerance * F.col("_whole")))
+            .select(F.col("text_hash").alias("_h"), cut("2 * _from + _g").alias("_to"))
+        )
+        placed = placed.join(F.broadcast(parted), F.col("text_hash") == F.col("_h"), "left").withColumn("shard", F.coalesce("_to", "shard"))
     first = placed.groupBy("shard").agg(F.min("rank").alias("_first")).withColumnRenamed("shard", "_shard")
     out = placed.join(F.broadcast(first), F.col("shard") == F.col("_shard"))
     return out.select(*keys.columns, "shard", (F.col("rank") - F.col("_first")).alias("slot"))
@@ -68,3 +81,22 @@ def shard_with_texts(docs: DataFrame, shards: int = 24, group_tolerance: float =
     rows = numbered(docs.drop("shard", "slot"))
     where = assign_shards(durable(keyed(rows, "_row")), shards, group_tolerance).select("_row", "shard", "slot")
     return rows.join(where, "_row").drop("_row")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """`docs`, written down, with `_row` and the columns of ORDER, by which they stand as they were written: by file and place in it, or by partition."""
+    row = F.monotonically_increasing_id()
+    file = F.col("_metadata.file_name")
+    try:
+        # a scan's partitions aren't in the order of files, so generated numbers aren't either
+        rows = docs.select("*", row.alias("_row"), F.length(file).alias("_digits"), file.alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        rows = docs.select("*", row.alias("_row"), F.lit(0).alias("_digits"), F.lit("").alias("_file"), row.alias("_at"))
+    return durable(rows)
+
+
+def shard_in_order(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """As shard_with_texts, along the order in which the rows of `docs` stand: shards follow each other in it, and slots within them."""
+    rows = in_order(docs.drop("shard", "slot"))
+    where = assign_shards(durable(keyed(rows, "_row", *ORDER)), shards, order=ORDER).select("_row", "shard", "slot")
+    return rows.join(where, "_row").drop("_row", *ORDER)

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspan.functions.schema import LABELS
-from larkspan.llm import lm_scoring, pii
+from larkspan.llm import lm_scoring, mixing, pii, sharding
 from larkspan.operators import baseline, tfidf
 from larkspan.plans import registry
 
@@ -102,3 +103,19 @@ def test_terms_far_from_a_value_and_of_rare_values(spark):
         assert clean[i] == texts[i].replace("zorblatt", "").replace("began", "").replace("ended", "").replace("write", "").replace("to jo@corp.example", " [EMAIL]")
     assert "quuxly" not in clean[3] and far in clean[3]
     assert all(clean[i] == texts[i] for i in range(4, len(texts)))
+
+
+def test_pipeline_shards_follow_the_curriculum(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mixing.mix(docs)
+    path = str(tmp_path / "mixed")
+    mixed.write.parquet(path)
+    order = [r["doc_id"] for r in mixed.collect()]
+    for rows in (spark.read.parquet(path), spark.createDataFrame(mixed.collect(), mixed.schema)):
+        out = dict(corpus_pipeline.STAGES)["sharding"](spark, rows, sf_dir)
+        got = out.select("shard", "slot", "doc_id", "text").collect()
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == order
+        sizes = collections.Counter()
+        for r in got:
+            sizes[r["shard"]] += len((r["text"] or "").encode()) + sharding.OVERHEAD
+        assert set(sizes) == set(range(24)) and all(min(r["slot"] for r in got if r["shard"] == k) == 0 for k in sizes)
