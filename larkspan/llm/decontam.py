@@ -12,7 +12,7 @@ Native. The benchmark's seeds are broadcast only if they number at most `BROADCA
 they are joined by shuffle. Hits are narrow; only documents with hits are read again for verification.
 
 Defined cases: tokens are lower-cased runs of letters and digits; items of fewer tokens than the longest mask
-use a mask without gaps of their own length, those below `MIN_TOKENS` match nothing; null texts and ids of null
+are found by pairs of their tokens and have to reach `overlap` on one diagonal, those below `MIN_TOKENS` match nothing; null texts and ids of null
 match nothing; repeated documents give one row per doc_id and item; empty tables give none.
 """
 
@@ -59,6 +59,14 @@ def seeds_near(df: DataFrame, masks: dict[int, str], pairs: DataFrame) -> DataFr
     return rows.select("id", "t", "pos", F.explode(_hashes(lambda k: at(k) if k else F.col("t0"), masks)).alias("h")).where(F.col("h").isNotNull())
 
 
+def short_seeds(items: DataFrame, overlap: float) -> DataFrame:
+    """item, item_pos, gap, item_h of short items: each pair of tokens that can be the first two matched ones on a diagonal that reaches `overlap`."""
+    free = F.size("t") - F.greatest(F.lit(2), F.ceil(F.size("t") * overlap - 1e-9).cast("int"))
+    first = items.select("id", "t", free.alias("free"), F.posexplode("t").alias("pos", "t0")).where(F.col("pos") <= F.col("free"))
+    pairs = first.withColumn("gap", F.explode(F.sequence(F.lit(1), F.col("free") + 1 - F.col("pos"))))
+    return pairs.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "gap", F.xxhash64("gap", "t0", F.get("t", F.col("pos") + F.col("gap"))).alias("item_h"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.6, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, item_id, matched, item_tokens, overlap, doc_start: a row for each document and item it holds.
 
@@ -71,34 +79,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0
         .groupBy("t")
         .agg(F.min("item_id").alias("id"), F.collect_set("item_id").alias("items"))
     )
-    # at most as many values as the longest mask has places
-    short = sorted(r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n") < longest).distinct().collect())
+    long, short = items.where(F.size("t") >= longest), items.where(F.size("t") < longest)
     wide = dict(enumerate(masks))
-    exact = {len(masks) + n: "1" * n for n in short}
-    keys = seeds(items.where(F.size("t") >= longest), wide)
-    for n, m in exact.items():
-        keys = keys.union(seeds(items.where(F.size("t") == len(m)), {n: m}))
+    keys = seeds(long, wide)
     keys = durable(keys.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h")))
-    few = keys.count() <= BROADCAST_SEEDS
+    short_keys = durable(short_seeds(short, overlap))
+    gaps = short_keys.agg(F.max("gap")).first()[0] or 0
+    few = keys.count() + short_keys.count() <= BROADCAST_SEEDS
     read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
     diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
     item_t = items.select(F.col("id").alias("item"), F.col("t").alias("item_t"))
     at = F.filter(F.transform("item_t", lambda x, i: F.when(F.get("t", i + F.col("diagonal")) == x, i)), lambda i: i.isNotNull())
     aligned = lambda df: df.select("id", "item", "diagonal", F.size("item_t").alias("n"), at.alias("at"))
+    pair = lambda k: F.xxhash64(F.lit(k), "t0", F.get("t", F.col("pos") + k))
     if few:
         # fewer items than seeds
-        pairs = items.select("t", F.posexplode("t").alias("pos", "t0")).select(F.xxhash64("t0", F.get("t", F.col("pos") + PAIR)).alias("p")).distinct()
-        found = seeds_near(read, wide | exact, pairs).join(F.broadcast(keys), F.col("h") == F.col("item_h"))
-        both = aligned(found.select("id", "t", "item", diagonal).join(F.broadcast(item_t), "item")).distinct()
+        pairs = long.select("t", F.posexplode("t").alias("pos", "t0")).select(F.xxhash64("t0", F.get("t", F.col("pos") + PAIR)).alias("p")).distinct()
+        found = seeds_near(read, wide, pairs).join(F.broadcast(keys), F.col("h") == F.col("item_h")).select("id", "t", "item", diagonal)
+        if gaps:
+            near = read.select("id", "t", F.posexplode("t").alias("pos", "t0")).select("id", "t", "pos", F.explode(F.array(*[pair(k) for k in range(1, gaps + 1)])).alias("h"))
+            found = found.union(near.join(F.broadcast(short_keys), F.col("h") == F.col("item_h")).select("id", "t", "item", diagonal))
+        both = aligned(found.join(F.broadcast(item_t), "item")).distinct()
     else:
-        found = seeds(read, wide | exact).join(keys, F.col("h") == F.col("item_h"))
-        hits = durable(found.select("id", "item", diagonal).distinct())
+        found = seeds(read, wide).join(keys, F.col("h") == F.col("item_h")).select("id", "item", diagonal)
+        if gaps:
+            near = read.select("id", "t", F.posexplode("t").alias("pos", "t0")).select("id", "pos", F.explode(F.array(*[pair(k) for k in range(1, gaps + 1)])).alias("h"))
+            found = found.union(near.join(short_keys, F.col("h") == F.col("item_h")).select("id", "item", diagonal))
+        hits = durable(found.distinct())
         sets = hits.join(item_t, "item").groupBy("id").agg(F.collect_list(F.struct("item", "diagonal", "item_t")).alias("on"))
         held = docs.join(hits.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
         held = held.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
         both = aligned(held.join(sets, "id").select("id", "t", F.explode("on").alias("on")).select("id", "t", "on.*"))
     whole = (
-        both.withColumn("start", F.greatest("diagonal", F.lit(0)))
+        both.where((F.col("n") >= longest) | (F.size("at") >= overlap * F.col("n")))
+        .withColumn("start", F.greatest("diagonal", F.lit(0)))
         .groupBy("id", "item", "n")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("matched"), F.min("start").alias("doc_start"))
         .where(F.col("matched") >= overlap * F.col("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larkspan.functions.schema import LABELS
-from larkspan.llm import lm_scoring, mixing, pii, sharding
+from larkspan.llm import decontam, lm_scoring, mixing, pii, sharding
 from larkspan.operators import baseline, tfidf
 from larkspan.plans import registry
 
@@ -119,3 +119,22 @@ def test_pipeline_shards_follow_the_curriculum(spark, sf_dir, tmp_path):
         for r in got:
             sizes[r["shard"]] += len((r["text"] or "").encode()) + sharding.OVERHEAD
         assert set(sizes) == set(range(24)) and all(min(r["slot"] for r in got if r["shard"] == k) == 0 for k in sizes)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_short_items_with_substitutions(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    items = [[f"i{n}k{k}" for k in range(n)] for n in range(4, 10)]
+    r = random.Random(3)
+    docs, expected = [], set()
+    for n, item in zip(range(4, 10), items, strict=True):
+        for changed in range(n):
+            for _ in range(3):
+                at = set(r.sample(range(n), changed))
+                if 5 * (n - changed) >= 3 * n:
+                    expected.add((len(docs), n))
+                docs.append(" ".join(["before", "it", *("other" if k in at else w for k, w in enumerate(item)), "after"]))
+    bench = spark.createDataFrame([(len(t), " ".join(t)) for t in items], "item_id long, text string")
+    got = decontam.find_contamination(spark.createDataFrame(list(enumerate(docs)), TEXTS), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == expected and all(x["doc_start"] == 2 for x in got)
