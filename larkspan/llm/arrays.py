@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: An odd multiplier of the polynomial hash, its inverse modulo 2^64, and the multipliers of the finaliser (splitmix64).
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -86,14 +88,45 @@ def chunks(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, list]]:
+    """Ranges of a column of texts of about `most` bytes, one text at least, and these texts as UTF-8."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, to, column.slice(at, to - at).cast(pa.binary()).to_pylist()
+        at = to
+
+
 def words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and bounds: those of text i are hashes[bounds[i]:bounds[i+1]]."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    """Hashes of all words of the texts (strings or UTF-8) in order, and bounds: those of text i are hashes[bounds[i]:bounds[i+1]]."""
+    raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])
     hashes, first = word_hashes(b"\n".join(raw))
     return hashes, np.searchsorted(first, starts)
 
 
+class Recent:
+    """Remembers the last keys, up to a number that bounds its memory."""
+
+    def __init__(self, most: int = 100_000):
+        self.now: set[int] = set()
+        self.old: set[int] = set()
+        self.most = most
+
+    def new(self, key: int) -> bool:
+        """Whether `key` hasn't been seen lately."""
+        if key in self.now:
+            return False
+        was = key in self.old
+        self.now.add(key)
+        if 2 * len(self.now) > self.most:
+            self.now, self.old = set(), self.now
+        return not was
+
+
 def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of n (1 each) over equal ones."""
     if len(keys) == 0:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+from pyspark import SparkContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Durable tables that are still there.
-_written: list[str] = []
+#: Durable tables by the scope that owns them, the innermost last; those of the first go as the process ends.
+_scopes: list[list[str]] = [[]]
 #: Words as the contracts define them: runs of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,10 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a folder of this machine."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of this machine, if all of Spark runs on it (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="larkspan-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -53,29 +63,68 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """`df` as a written table in the shared folder: its lineage ends there, and no lost executor costs its rows.
 
-    What isn't a function of the input alone (partition ids, generated ids, samples) gets fixed by this.
+    What isn't a function of the input alone (partition ids, generated ids, samples) gets fixed by this. The innermost
+    open scope owns the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    owned(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspan_path = path
-    _written.append(path)
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes durable tables that nothing reads any more; with none named, all that this process has written and not released.
+def owned(path: str) -> None:
+    """Makes the innermost open scope the owner of a folder."""
+    if not _scopes[0] and len(_scopes) == 1:
+        atexit.register(_end)
+    _scopes[-1].append(path)
 
-    The latter is for the start of a step whose input has been written by the step before.
-    """
-    paths = [t._larkspan_path for t in tables] or list(_written)
-    jvm = SparkSession.getActiveSession()._jvm
-    conf = SparkSession.getActiveSession()._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-        _written.remove(path)
+
+def _end() -> None:
+    # the JVM may be gone by now
+    with contextlib.suppress(Exception):
+        while _scopes[0]:
+            delete(_scopes[0].pop())
+
+
+def delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    sc = SparkContext._active_spark_context
+    conf = sc._jsc.hadoopConfiguration() if sc is not None else jvm.org.apache.hadoop.conf.Configuration()
+    target.getFileSystem(conf).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing reads any more."""
+    for path in [t._larkspan_path for t in tables]:
+        next(s for s in reversed(_scopes) if path in s).remove(path)
+        delete(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Owns the durable tables that are written inside and deletes them at its end, but for those that are handed to the
+    function it yields: the scope around this one owns these. Tables that others have written are left alone."""
+    own: list[str] = []
+    _scopes.append(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        own.remove(table._larkspan_path)
+        around = _scopes[_scopes.index(own) - 1] if own in _scopes else _scopes[0]
+        if around is _scopes[0] and not around:
+            atexit.register(_end)
+        around.append(table._larkspan_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not own]
+        for path in own:
+            delete(path)
 
 
 def collect_garbage(spark: SparkSession) -> None:
@@ -84,6 +133,31 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores ahead until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def _only_scan(plan) -> bool:
+    """Whether a plan reads one table of files and drops or computes columns and rows, so that no row of a file comes twice."""
+    name = plan.getClass().getSimpleName()
+    if name == "LogicalRelation":
+        return True
+    return name in ("Project", "Filter", "SubqueryAlias") and _only_scan(plan.children().head())
+
+
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a string column `name` that is unique and the same in each reading, so that what is found on narrow
+    rows can be joined back to them: file and place in it, or where docs isn't a scan of files, a number that is written down with them."""
+    if _only_scan(docs._jdf.queryExecution().analyzed()):
+        with contextlib.suppress(AnalysisException):
+            return docs.select("*", F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(name))
+    return durable(docs.withColumn(name, F.monotonically_increasing_id().cast("string")))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """`df`, written down, with a unique `_row`, so that what is found on narrow rows can be joined back to them."""
     return durable(df.withColumn("_row", F.monotonically_increasing_id()))

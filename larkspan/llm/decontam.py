@@ -12,8 +12,10 @@ Native. The benchmark's seeds are broadcast only if they number at most `BROADCA
 they are joined by shuffle. Hits are narrow; only documents with hits are read again for verification.
 
 Defined cases: tokens are lower-cased runs of letters and digits; items of fewer tokens than the longest mask
-are found by pairs of their tokens and have to reach `overlap` on one diagonal, those below `MIN_TOKENS` match nothing; null texts and ids of null
-match nothing; repeated documents give one row per doc_id and item; empty tables give none.
+are found by pairs of their tokens and have to reach `overlap` on one diagonal, those below `MIN_TOKENS` match nothing, and so do items without an id;
+null texts match nothing; null and repeated ids are found row by row, no item is put together from several rows, and one row is reported for each doc_id
+and item; ties between diagonals go to the first place in the document; other columns are ignored, in `decontaminate` they come along, whatever
+their names; long texts are read whole; empty tables give none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import durable
+from larkspan.llm.common import durable, fresh, scratch, with_rows
 
 #: Each has its first and fourth token: that pair, which is cheap to test, is looked up before the masks are.
 MASKS = ("11011011", "1011010011", "1101001101")
@@ -67,11 +69,8 @@ def short_seeds(items: DataFrame, overlap: float) -> DataFrame:
     return pairs.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "gap", F.xxhash64("gap", "t0", F.get("t", F.col("pos") + F.col("gap"))).alias("item_h"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.6, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """doc_id, item_id, matched, item_tokens, overlap, doc_start: a row for each document and item it holds.
-
-    doc_start is the smallest token position at which a verified diagonal enters the item.
-    """
+def hits(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.6, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """id, items (ids of equal ones), matched, n, doc_start from docs of id, unique, and text. Lazy; its tables belong to the scope around."""
     longest = max(map(len, masks))
     items = durable(
         benchmark.select("item_id", tokens(F.col("text")).alias("t"))
@@ -86,7 +85,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0
     short_keys = durable(short_seeds(short, overlap))
     gaps = short_keys.agg(F.max("gap")).first()[0] or 0
     few = keys.count() + short_keys.count() <= BROADCAST_SEEDS
-    read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
+    read = docs.select("id", tokens(F.col("text")).alias("t"))
     diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
     item_t = items.select(F.col("id").alias("item"), F.col("t").alias("item_t"))
     at = F.filter(F.transform("item_t", lambda x, i: F.when(F.get("t", i + F.col("diagonal")) == x, i)), lambda i: i.isNotNull())
@@ -105,31 +104,53 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0
         if gaps:
             near = read.select("id", "t", F.posexplode("t").alias("pos", "t0")).select("id", "pos", F.explode(F.array(*[pair(k) for k in range(1, gaps + 1)])).alias("h"))
             found = found.union(near.join(short_keys, F.col("h") == F.col("item_h")).select("id", "item", diagonal))
-        hits = durable(found.distinct())
-        sets = hits.join(item_t, "item").groupBy("id").agg(F.collect_list(F.struct("item", "diagonal", "item_t")).alias("on"))
-        held = docs.join(hits.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
-        held = held.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
-        both = aligned(held.join(sets, "id").select("id", "t", F.explode("on").alias("on")).select("id", "t", "on.*"))
-    whole = (
+        met = durable(found.distinct())
+        held = docs.join(met.select("id").distinct(), "id", "left_semi").select("id", tokens(F.col("text")).alias("t"))
+        # a row for each diagonal meets the one row of its document
+        both = aligned(met.join(item_t, "item").join(held, "id"))
+    # places of an item are counted as rows, so many diagonals of a repetitive text aren't gathered
+    places = (
         both.where((F.col("n") >= longest) | (F.size("at") >= overlap * F.col("n")))
-        .withColumn("start", F.greatest("diagonal", F.lit(0)))
-        .groupBy("id", "item", "n")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("matched"), F.min("start").alias("doc_start"))
-        .where(F.col("matched") >= overlap * F.col("n"))
-    )
-    out = whole.join(items.select(F.col("id").alias("item"), "items"), "item")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.explode("items").alias("item_id"),
-        F.col("matched").cast("long").alias("matched"),
-        F.col("n").cast("long").alias("item_tokens"),
-        F.round(F.col("matched") / F.col("n"), 6).alias("overlap"),
-        F.col("doc_start").cast("long").alias("doc_start"),
+        .select("id", "item", "n", F.greatest("diagonal", F.lit(0)).alias("start"), F.explode("at").alias("place"))
+        .groupBy("id", "item", "n", "place")
+        .agg(F.min("start").alias("start"))
     )
+    whole = places.groupBy("id", "item", "n").agg(F.count("*").alias("matched"), F.min("start").alias("doc_start")).where(F.col("matched") >= overlap * F.col("n"))
+    return whole.join(items.select(F.col("id").alias("item"), "items"), "item").select("id", "items", "matched", "n", "doc_start")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, matched, item_tokens, overlap, doc_start: a row for each doc_id and item that a document of this id holds; of several, that with most matches.
+
+    doc_start is the smallest token position at which a verified diagonal enters the item.
+    """
+    with scratch() as keep:
+        rows = with_rows(docs, "_row") if "_row" not in docs.columns else with_rows(docs.select("doc_id", "text"), "_row")
+        held = durable(hits(rows.select(F.col("_row").alias("id"), "text"), benchmark, **options))
+        ids = rows.select(F.col("_row").alias("id"), "doc_id").join(held.select("id").distinct(), "id", "left_semi")
+        one = held.join(ids, "id").select("doc_id", F.explode("items").alias("item_id"), "matched", "n", "doc_start")
+        best = F.max(F.struct("matched", (-F.col("doc_start")).alias("s")))
+        return keep(
+            durable(
+                one.groupBy("doc_id", "item_id", "n")
+                .agg(best.alias("b"))
+                .select(
+                    "doc_id",
+                    "item_id",
+                    F.col("b.matched").cast("long").alias("matched"),
+                    F.col("n").cast("long").alias("item_tokens"),
+                    F.round(F.col("b.matched") / F.col("n"), 6).alias("overlap"),
+                    (-F.col("b.s")).cast("long").alias("doc_start"),
+                )
+            )
+        )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
-    # written, so that its size is known and a small one is broadcast rather than texts shuffled
-    bad = durable(find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The documents that hold no item, with all their columns; rows are told apart whatever their ids."""
+    row = fresh(docs, "_row")
+    rows = with_rows(docs, row)
+    with scratch() as keep:
+        # written, so that its size is known and a small one is broadcast rather than texts shuffled
+        bad = keep(durable(hits(rows.select(F.col(row).alias("id"), "text"), benchmark, **options).select(F.col("id").alias(row)).distinct()))
+    return rows.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,8 @@ and candidates are verified by the Jaccard similarity of whole shingle sets.
 
 Defined cases: a null text is empty; texts without words have the fingerprint "" and are like each other (1) and
 nothing else (0); texts of fewer words than five are one shingle; ids of null come last in descending order,
-ties are ordered by text; a single document is its own next one; an empty table gives none.
+ties are ordered by a hash of the text; a single document is its own next one; other columns are ignored, whatever their
+names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import jaccard_join
 from larkspan.llm.arrays import chunks, mix, words_of
-from larkspan.llm.common import durable, map_arrow
+from larkspan.llm.common import durable, map_arrow, scratch
 
 WORDS, PERMUTATIONS, ROWS = 5, 128, 6
 _seed = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -73,32 +74,73 @@ def edited(text: str, following: str) -> str:
 NOTE, TEXT, END = 0, 1, 2
 
 
+def ranges(docs: DataFrame, parts: int):
+    """The number of ranges of rows in descending order of (doc_id, text's hash), and place(doc_id, share): the range of a row whose hash is at this
+    share of all hashes, or with share None all ranges of an id.
+
+    Ids are cut at about `parts` quantiles. An id that more than one quantile falls on has several ranges by hash, and so do null ids.
+    """
+    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("cuts"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    cuts = sorted(found["cuts"] or [])
+    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")] if cuts else [-float("inf"), 0.0, float("inf")]
+    times = {c: cuts.count(c) for c in set(cuts)}
+    # by bucket: the id that takes several ranges, of those that a double can't tell apart the most frequent one
+    heavy: dict[int, tuple[int, int]] = {}
+    for c, k in times.items():
+        b = splits.index(float(c))
+        if k > 1 and k > heavy.get(b, (0, 0))[1]:
+            heavy[b] = (c, k)
+    base, at = {}, 0
+    for b in range(len(splits) - 2, -1, -1):
+        base[b] = at
+        at += 2 + heavy[b][1] if b in heavy else 1
+    nulls = max(1, -(-(found["n"] - found["ids"]) * parts // max(1, found["n"])))
+    bucket = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep")
+    of = lambda values, kind: F.get(F.array(*[F.lit(values.get(b)).cast(kind) for b in range(len(splits) - 1)]), F.col("_b").cast("int"))
+
+    def place(df: DataFrame, share: Column | None) -> DataFrame:
+        known = bucket.transform(df.withColumn("_id", F.col("doc_id").cast("double")))
+        id_, times = of({b: h[0] for b, h in heavy.items()}, "long"), of({b: h[1] for b, h in heavy.items()}, "int")
+        part = lambda k: F.sequence(F.lit(0), k - 1) if share is None else F.array(F.least(k - 1, F.floor(share * k).cast("int")))
+        one = lambda k: F.array(F.lit(k))
+        within = F.when(id_.isNull() | (F.col("doc_id") > id_), one(0)).when(F.col("doc_id") == id_, F.transform(part(times), lambda k: k + 1)).otherwise(F.array(1 + times))
+        start = F.when(F.col("doc_id").isNull(), F.lit(at)).otherwise(of(base, "int"))
+        return known.withColumn("_b", F.explode(F.transform(F.when(F.col("doc_id").isNull(), part(F.lit(nulls))).otherwise(within), lambda k: start + k))).drop("_id")
+
+    return at + nulls, place
+
+
 def with_next(docs: DataFrame, notes: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Rows of doc_id and text in descending order within partitions, so that the next document's row follows each.
 
-    Ids are cut into ranges at approximate quantiles; each range ends with a copy of the next range's first row. Rows of
+    Each partition is one range and ends with a copy of the next range's first row. Rows of
     notes (doc_id, note), one for an id, come along, each ahead of its documents, so that these needn't be joined.
     """
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts or [0.0])), float("inf")]
-    # descending: the range of the largest ids is the first, that of nulls the last
-    bucket = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep")
-    place = F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - 1 - F.col("_b")).cast("int")
-    in_range = lambda df: bucket.transform(df.withColumn("_id", F.col("doc_id").cast("double"))).withColumn("_b", place)
-    none = F.lit(None)
-    ranged = in_range(docs).select("doc_id", "text", none.cast("long").alias("note"), F.lit(TEXT).alias("_kind"), "_b")
-    order = F.struct(-F.coalesce("doc_id", F.lit(0)), F.col("text"))
-    firsts = durable(ranged.groupBy("_b").agg(F.min_by(F.struct("doc_id", "text"), order).alias("f")))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    n, place = ranges(docs.select("doc_id"), parts)
+    ranged = place(docs, F.col("th") / 2.0**64 + 0.5)
+    down = F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("d"), "th")
     # a row for each range
+    heads = durable(ranged.groupBy("_b").agg(F.min(down).alias("f")).select(F.col("_b").alias("_p"), F.bitwise_not("f.d").alias("_d"), F.col("f.th").alias("_t")))
+    first = ranged.join(F.broadcast(heads), (F.col("_b") == F.col("_p")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("th") == F.col("_t")))
+    first = durable(first.groupBy("_b", "doc_id", "th").agg(F.min("text").alias("text")))
     around = Window.orderBy("_b")
-    nexts = firsts.select("_b", F.lead("f").over(around).alias("n"), F.first("f").over(around).alias("o")).select("_b", F.coalesce("n", "o").alias("n"))
-    rows = ranged.union(nexts.select("n.doc_id", "n.text", none.cast("long").alias("note"), F.lit(END).alias("_kind"), "_b"))
+    # which range's first row ends a range: that of the next one, of the first one at the end
+    ends = first.select("_b").withColumn("_n", F.coalesce(F.lead("_b").over(around), F.first("_b").over(around))).select(F.col("_b").alias("_e"), "_n")
+    ends = first.join(F.broadcast(ends), F.col("_b") == F.col("_n")).select("doc_id", "text", "th", F.col("_e").alias("_b"))
+    none = F.lit(None).cast("long").alias("note")
+    rows = ranged.select("doc_id", "text", "th", none, F.lit(TEXT).alias("_kind"), "_b").union(ends.select("doc_id", "text", "th", none, F.lit(END).alias("_kind"), "_b"))
     if notes is not None:
-        rows = rows.union(in_range(notes).select("doc_id", F.lit("").alias("text"), "note", F.lit(NOTE).alias("_kind"), "_b"))
-    return rows.repartition(parts, "_b").sortWithinPartitions("_b", F.col("_kind") == END, F.desc_nulls_last("doc_id"), "_kind", "text").select("doc_id", "text", "note", "_kind")
+        own = place(notes.where(F.col("doc_id").isNotNull()).select("doc_id", "note"), None)
+        rows = rows.union(own.select("doc_id", F.lit("").alias("text"), F.lit(0).cast("long").alias("th"), "note", F.lit(NOTE).alias("_kind"), "_b"))
+    # for each range a number that hashing deals to a partition of its own
+    number = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("k")).agg(F.min("id").alias("id"))
+    number = {r["k"]: r["id"] for r in number.collect()}
+    dealt = rows.withColumn("_b", F.get(F.array(*[F.lit(number.get(k, k)).cast("long") for k in range(n)]), F.col("_b")))
+    order = [F.col("_b"), F.col("_kind") == END, F.desc_nulls_last("doc_id"), F.col("_kind"), F.col("th"), F.col("text")]
+    return dealt.repartition(n, "_b").sortWithinPartitions(*order).select("doc_id", "text", "note", "_kind")
 
 
 def fingerprint_documents(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -138,17 +180,19 @@ def fingerprint_documents(docs: DataFrame, classes: DataFrame | None = None) ->
     def run(batches):
         rows, size, last, note = [], 0, None, (None, None)
         for batch in batches:
-            for i, text, n, kind in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if kind == NOTE:
-                    note = (i, n)
-                    continue
-                if last is not None:
-                    rows.append((*last, text))
-                    size += len(last[1])
-                last = None if kind == END else (i, text, note[1] if note[0] == i else None)
-                if size > 1 << 19:
-                    yield made(rows)
-                    rows, size = [], 0
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                for i, text, n, kind in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                    if kind == NOTE:
+                        note = (i, n)
+                        continue
+                    if last is not None:
+                        rows.append((*last, text))
+                        size += len(last[1])
+                    last = None if kind == END else (i, text, note[1] if note[0] == i else None)
+                    if size > 1 << 19:
+                        yield made(rows)
+                        rows, size = [], 0
         if rows:
             yield made(rows)
 
@@ -157,30 +201,16 @@ def fingerprint_documents(docs: DataFrame, classes: DataFrame | None = None) ->
     return map_arrow(with_next(docs.withColumn("doc_id", F.col("doc_id").cast("long")), notes), run, schema)
 
 
-def bands(docs: DataFrame) -> DataFrame:
-    """sid, band: for each set of shingles, posted once in a partition, the values of its bands."""
+def bands(_, texts: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text, which has words: the values of its bands, under which its set is posted; sets of any overlap meet there."""
+    if not texts:
+        return [], []
     n_bands = PERMUTATIONS // ROWS
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts, 1 << 19):
-                own, has = signatures(texts[a:b])
-                new = []
-                sids = [jaccard_join.set_id(s) if len(s) else 0 for s in jaccard_join.shingle_sets(texts[a:b], WORDS)]
-                for i, sid in enumerate(sids):
-                    if has[i] and sid not in seen:
-                        seen.add(sid)
-                        new.append(i)
-                if new:
-                    values = own[new][:, : n_bands * ROWS].astype(np.uint64).reshape(len(new), n_bands, ROWS)
-                    hashes = np.broadcast_to(np.arange(n_bands, dtype=np.uint64), values.shape[:2])
-                    for k in range(ROWS):
-                        hashes = mix(hashes * np.uint64(0x100000001B3) + values[:, :, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([sids[i] for i in new], np.int64), n_bands)), pa.array(hashes.ravel().view(np.int64))], ["sid", "band"])
-
-    return map_arrow(docs.select("text"), run, "sid bigint, band bigint")
+    values = signatures(texts)[0][:, : n_bands * ROWS].astype(np.uint64).reshape(len(texts), n_bands, ROWS)
+    hashes = np.broadcast_to(np.arange(n_bands, dtype=np.uint64), values.shape[:2])
+    for k in range(ROWS):
+        hashes = mix(hashes * np.uint64(0x100000001B3) + values[:, :, k])
+    return list(hashes), [np.full(n_bands, np.iinfo(np.int32).max)] * len(texts)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -188,9 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Sets that share a band are candidates; all links between them count, found without all pairs of a band.
     """
-    sets = jaccard_join.sets_table(docs, WORDS)
-    lists = durable(bands(docs).withColumnRenamed("band", "h"))
-    roots = jaccard_join.link_classes(docs, sets, WORDS, percent, lists)
-    own = sets.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
-    least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return own.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    with scratch() as keep:
+        sets = jaccard_join.posted_sets(docs, WORDS, bands)
+        roots = jaccard_join.link_classes(docs, sets, WORDS, percent)
+        return keep(durable(jaccard_join.with_least(sets, roots).select("doc_id", F.col("least").alias("class_id"))))

@@ -14,7 +14,7 @@ documented bound, picked by a hash of their ids; a language's rows are all read
 Letters are lower-cased; runs of other characters are one boundary. Defined cases: texts that are null or
 without letters are `und`, score 0; texts whose n-grams are all unknown get the language with the most training rows,
 score 0; ties go to the first language in order; repeated rows agree; without labelled rows all are `und`;
-columns named like the results are replaced; an empty table gives none.
+other columns are ignored, in `keep_identified` they come along unchanged, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.llm.arrays import Counter, chunks, mix
-from larkspan.llm.common import durable, map_arrow
+from larkspan.llm.common import durable, fresh, map_arrow, scratch
 
 N, HASHES, SLOTS = 4, 3, 1 << 20
 UNDETERMINED = "und"
@@ -84,7 +84,7 @@ class Model:
         out, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return out, scores
-        for a, b in chunks(texts, 1 << 19):
+        for a, b in chunks(texts, 1 << 18):
             rows = [i for i in range(a, b) if texts[i]]
             codes, of = streams([texts[i] for i in rows])
             counts, n = np.zeros((len(self.languages), len(rows))), np.zeros(len(rows))
@@ -110,6 +110,11 @@ class Model:
 
 def train(labelled: DataFrame, sample: int = 4000, least: float = 1e-5, ratio: float = 0.25) -> Model:
     """labelled: doc_id, text, lang; rows without lang are left out."""
+    with scratch():
+        return _train(labelled, sample, least, ratio)
+
+
+def _train(labelled: DataFrame, sample: int, least: float, ratio: float) -> Model:
     spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # a row per language, and languages are few: a mask holds a bit for each
@@ -129,7 +134,7 @@ def train(labelled: DataFrame, sample: int = 4000, least: float = 1e-5, ratio: f
             which, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for i in set(which.tolist()):
                 own = [t for t, k in zip(texts, which, strict=True) if k == i and t]
-                for a, b in chunks(own, 1 << 19):
+                for a, b in chunks(own, 1 << 18):
                     for h, _ in grams(*streams(own[a:b])):
                         for kn in kept[i].add(h):
                             yield send(i, kn)
@@ -157,19 +162,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to rows that have a text."""
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the columns lang and score, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.drop(lang, score)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                lang, score = shared.value.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
+                found, scores = shared.value.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores)], [*part.schema.names, lang, score])
 
     return map_arrow(docs, run, schema)
 
@@ -181,6 +186,7 @@ def identify_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose language can be told, with their columns."""
+    """The documents whose language can be told, with all their columns as they are, also such as are named like the results."""
     model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **options)
-    return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    return identify(docs, model, lang, score).where(F.col(lang) != UNDETERMINED).drop(lang, score)

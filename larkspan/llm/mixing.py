@@ -11,7 +11,8 @@ Native. Offsets in the streams are distributed prefix sums, so a hot source spre
 of sources, a row each, is windowed as one and broadcast only below `BROADCAST_SOURCES` rows.
 
 Defined cases: a null text has size 0; null sources are one source, the last; sources without words have
-target 0 and give nothing; null ids and repeated rows are rows like others; an empty table gives none.
+target 0 and give nothing; null ids and repeated rows are rows like others (those that agree in id and text are interchangeable); other
+columns, whatever their names, come along in `mix` and are ignored in `plan`; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import durable, n_words, numbered, prefix_sums
+from larkspan.llm.common import durable, fresh, n_words, prefix_sums, scratch, with_rows
 
 WEIGHTS = (5, 2, 1)
 #: Of each weight: heavy sources fade, light ones grow.
@@ -67,15 +68,21 @@ def position(q: Column, slope: Column) -> Column:
 def plan(docs: DataFrame, seed: int = 17, extra: Sequence[str] = (), **options) -> DataFrame:
     """A row per document: doc_id, text_hash, source, size, source_size, target, taken and passes.
 
-    passes: array<struct<epoch, words, position>>, one for each time that the document is drawn.
+    passes: array<struct<epoch, words, position>>, one for each time that the document is drawn. Written down.
     """
+    with scratch() as keep:
+        return keep(durable(_plan(docs, seed, extra, **options)))
+
+
+def _plan(docs: DataFrame, seed: int, extra: Sequence[str], **options) -> DataFrame:
     rows = durable(
         docs.select(
             "doc_id",
             "source",
             n_words(F.col("text")).alias("size"),
-            F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-            F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_key"),
+            F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash"),
+            # pseudo-random, and the same in any engine
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"),
             *extra,
         )
     )
@@ -103,13 +110,15 @@ def plan(docs: DataFrame, seed: int = 17, extra: Sequence[str] = (), **options)
 def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The columns of `docs`, in the order of training positions, once for each pass that draws a document.
 
-    Whole documents: one that the end of its source's target cuts is drawn if at least half of it is within.
+    Rows are told apart by file and place in it, so texts aren't written in between. Whole documents: one that the end of its source's target cuts is drawn if at least half of it is within.
     """
-    rows = numbered(docs)
-    passes = (
-        plan(rows, seed, extra=("_row",), **options)
-        .select("_row", "size", F.explode("passes").alias("_p"))
-        .where(F.col("_p.words") * 2 >= F.col("size"))
-        .select("_row", F.col("_p.position").alias("_position"))
-    )
-    return rows.join(passes, "_row").orderBy("_position", "_row").select(*docs.columns)
+    row, place = fresh(docs, "_row"), fresh(docs, "_position")
+    rows = with_rows(docs, row)
+    with scratch() as keep:
+        passes = (
+            plan(rows.select("doc_id", "source", "text", F.col(row).alias("_row")), seed, extra=("_row",), **options)
+            .select("_row", "size", F.explode("passes").alias("_p"))
+            .where(F.col("_p.words") * 2 >= F.col("size"))
+        )
+        passes = keep(durable(passes.select(F.col("_row").alias(row), F.col("_p.position").alias(place))))
+    return rows.join(passes, row).orderBy(place, row).select(*[F.col(f"`{c}`") for c in docs.columns])

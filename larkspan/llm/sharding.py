@@ -13,23 +13,21 @@ Native; a hot group of texts spreads over range partitions, since the id's hash
 Collected or broadcast: one row for each partition or shard, never one for each document.
 
 Defined cases: a null text has no bytes and groups with empty texts; null ids and repeated rows are
-placed like others (rows that agree in everything are interchangeable); an empty table gives none.
+placed like others (rows that agree in everything are interchangeable); other columns come along where texts do, whatever
+their names, but for `shard` and `slot`, which are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import durable, numbered, prefix_sums
+from larkspan.llm.common import durable, fresh, prefix_sums, scratch, with_rows
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
-#: Columns of the order in which rows were written; part files are numbered, with more digits beyond 99999.
-ORDER = ("_digits", "_file", "_at")
 
 
 def assign_shards(keys: DataFrame, shards: int, group_tolerance: float = 0.02, order: Sequence[str] = ()) -> DataFrame:
@@ -65,38 +63,44 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash"),
-        F.xxhash64("doc_id").alias("id_hash"),
+        # orders that any engine has
+        F.md5(text.cast("binary")).alias("text_hash"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("id_hash"),
         *extra,
     )
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, group_tolerance: float = 0.02) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
-    return assign_shards(durable(keyed(docs)), shards, group_tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
+    with scratch() as keep:
+        placed = assign_shards(durable(keyed(docs)), shards, group_tolerance)
+        return keep(durable(placed.select("doc_id", "size", "text_crc32", "shard", "slot")))
 
 
-def shard_with_texts(docs: DataFrame, shards: int = 24, group_tolerance: float = 0.02) -> DataFrame:
-    """All columns of `docs` with shard and slot, which replace columns of these names; texts are shuffled once."""
-    rows = numbered(docs.drop("shard", "slot"))
-    where = assign_shards(durable(keyed(rows, "_row")), shards, group_tolerance).select("_row", "shard", "slot")
-    return rows.join(where, "_row").drop("_row")
+def _joined(docs: DataFrame, rows: DataFrame, row: str, shards: int, tolerance: float, order: Sequence[Column] = ()) -> DataFrame:
+    """The columns of docs with shard and slot; rows: docs with the column row."""
+    names = [f"_o{i}" for i in range(len(order))]
+    with scratch() as keep:
+        narrow = rows.select("doc_id", "text", F.col(row).alias("_row"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
+        where = assign_shards(durable(keyed(narrow, "_row", *names)), shards, tolerance, names)
+        where = keep(durable(where.select(F.col("_row").alias(row), "shard", "slot")))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return rows.drop("shard", "slot").join(where, row).select(*columns, "shard", "slot")
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """`docs`, written down, with `_row` and the columns of ORDER, by which they stand as they were written: by file and place in it, or by partition."""
-    row = F.monotonically_increasing_id()
-    file = F.col("_metadata.file_name")
-    try:
-        # a scan's partitions aren't in the order of files, so generated numbers aren't either
-        rows = docs.select("*", row.alias("_row"), F.length(file).alias("_digits"), file.alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    except AnalysisException:
-        rows = docs.select("*", row.alias("_row"), F.lit(0).alias("_digits"), F.lit("").alias("_file"), row.alias("_at"))
-    return durable(rows)
+def shard_with_texts(docs: DataFrame, shards: int = 24, group_tolerance: float = 0.02) -> DataFrame:
+    """All columns of `docs` with shard and slot, which replace columns of these names; texts are shuffled once."""
+    row = fresh(docs, "_row")
+    return _joined(docs, with_rows(docs, row), row, shards, group_tolerance)
 
 
 def shard_in_order(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """As shard_with_texts, along the order in which the rows of `docs` stand: shards follow each other in it, and slots within them."""
-    rows = in_order(docs.drop("shard", "slot"))
-    where = assign_shards(durable(keyed(rows, "_row", *ORDER)), shards, order=ORDER).select("_row", "shard", "slot")
-    return rows.join(where, "_row").drop("_row", *ORDER)
+    """As shard_with_texts, along the order in which the rows of `docs` stand: shards follow each other in it, and slots within them.
+
+    Rows of files stand by the files' names (part files are numbered, with more digits beyond 99999) and by place in them, others by partition.
+    """
+    row = fresh(docs, "_row")
+    rows = with_rows(docs, row)
+    # file:place, or a number alone
+    file, place = F.regexp_extract(row, "([^/]*):[0-9]+$", 1), F.regexp_extract(row, "([0-9]+)$", 1).cast("long")
+    return _joined(docs, rows, row, shards, 0.0, (F.length(file), file, place))
