@@ -14,10 +14,10 @@ for each n-gram it holds, and contexts and continuations are tables of key and v
 
 Numpy on Arrow batches, in bounded chunks; words and n-grams are 64-bit hashes. What is broadcast is bounded by parameters and
 saves work only: the head of the tables (words and n-grams of at least a share p of all tokens, at most 1 / p for
-each length) and filters of fixed size over the keys of the rest. All else stays in distributed tables.
+each length) and filters of fixed size over the keys of the rest. All else stays in distributed tables, which meet the texts by slices of the keys.
 
 Defined cases: a null text is empty and has the end token alone; ids of null train, by an empty id; rows are told
-apart by a generated number, so tied and repeated rows are scored each for itself; with no training tokens N and V
+apart by a generated number, so tied and repeated rows are scored each for itself; long texts are scored whole; with no training tokens N and V
 are 0 and every token has probability 1; extra columns are ignored; an empty table gives none.
 """
 
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.arrays import Counter, chunks, find, mix, summed, words_of
-from larkspan.llm.common import collect_garbage, durable, map_arrow, release
+from larkspan.llm.arrays import Counter, find, mix, pieces, summed, words_of
+from larkspan.llm.common import collect_garbage, durable, map_arrow, release, scratch, with_rows
 
 #: The end of a text, a symbol beside the words.
 END = np.uint64(0x656E64656E64656E)
@@ -45,8 +45,10 @@ DISCOUNT = 0.75
 GAIN = 2.0
 #: 64-bit words of a filter.
 SLOTS = 1 << 21
-#: Parts, by key, in which documents' n-grams are looked up one after the other, so that less is shuffled at a time.
-PARTS = 4
+#: Passes over the texts, each for a share of the keys, in which documents' n-grams are looked up, so that less is shuffled at a time.
+PARTS = 2
+#: Tokens, or keys of a table, for each slice of the keys; a slice is held by one worker at a time.
+SLICE = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,11 +69,10 @@ def count(texts: DataFrame, keys) -> DataFrame:
     """h, n: how often keys(tokens, bounds) has each key over all rows of `texts`, a table of that column alone."""
 
     def run(batches):
-        counter = Counter()
+        counter = Counter(500_000)
         for batch in batches:
-            part = batch.column(0).to_pylist()
-            for a, b in chunks(part):
-                for kn in counter.add(keys(*tokens_of(part[a:b]))):
+            for _, _, part in pieces(batch.column(0)):
+                for kn in counter.add(keys(*tokens_of(part))):
                     yield _batch(*kn)
         for kn in counter.rest():
             yield _batch(*kn)
@@ -156,42 +157,94 @@ class Tree:
         return out
 
 
-def count_grams(texts: DataFrame, length: int, known=None) -> DataFrame:
-    """c, s, n: how often a word follows a context of `length`, by the keys of the context and of the n-gram without its first symbol.
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return ((keys >> np.uint64(33)) % np.uint64(slices)).astype(np.int64)
 
-    known: a broadcast filter of the shorter n-grams that count; others are part of none that does.
+
+def sliced(keys: np.ndarray, slices: int):
+    """The order of keys by slice, and of each slice that has some its number and range in that order."""
+    of = slice_of(keys, slices)
+    order = np.argsort(of, kind="stable")
+    found, first = np.unique(of[order], return_index=True)
+    return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)][: len(found)], strict=True))
+
+
+def merged(c: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n over equal c and s."""
+    order = np.lexsort((s, c))
+    c, s, n = c[order], s[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] != s[:-1]))))
+    return c[at], s[at], np.add.reduceat(n, at)
+
+
+def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=None) -> DataFrame:
+    """c, s, n, key: how often, `floor` times at least, a word follows a context of `length`, by the keys of the context and of the n-gram without its first symbol.
+
+    known: a broadcast filter of the shorter n-grams that count; others are part of none that does. What a task has counted goes by slices of
+    the keys, as arrays in one value, to where a slice is summed; a worker holds the distinct n-grams of one slice.
     """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
+    def counted(batches):
+        def send(held):
+            c, s, n = merged(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            order, found = sliced(joined(c, s), slices)
+            c, s, n = c[order], s[order], n[order].astype(np.int32)
+            blobs = [c[a:b].tobytes() + s[a:b].tobytes() + n[a:b].tobytes() for _, a, b in found]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(blobs, pa.binary())], ["p", "blob"])
+
+        held, size = [], 0
         for batch in batches:
-            part = batch.column(0).to_pylist()
-            for a, b in chunks(part):
-                *_, (context, suffix, key, ok) = grams(*tokens_of(part[a:b]), length)
+            for _, _, part in pieces(batch.column(0)):
+                *_, (context, suffix, key, ok) = grams(*tokens_of(part), length)
                 at = np.flatnonzero(ok & maybe(known.value, context) & maybe(known.value, suffix) if known is not None else ok)
                 _, first, n = np.unique(key[at], return_index=True, return_counts=True)
                 at = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(n.astype(np.int64))], ["c", "s", "n"])
-
-    return map_arrow(texts, run, "c bigint, s bigint, n bigint").groupBy("c", "s").agg(F.sum("n").alias("n"))
-
+                held.append((context[at], suffix[at], n))
+                size += len(at)
+                if size > 500_000:
+                    yield send(held)
+                    held, size = [], 0
+        if size:
+            yield send(held)
+
+    def summed_up(batches):
+        held, size, now = [], 0, None
+
+        def done():
+            c, s, n = merged(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            at = n >= floor
+            c, s, n = c[at], s[at], n[at]
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(joined(c, s).view(np.int64))], ["c", "s", "n", "key"])
 
-def with_keys(counted: DataFrame) -> DataFrame:
-    def run(batches):
         for batch in batches:
-            c, s = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined(c, s).view(np.int64))], ["c", "s", "n", "key"])
-
-    return map_arrow(counted, run, "c bigint, s bigint, n bigint, key bigint")
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != now and held:
+                    yield done()
+                    held, size = [], 0
+                now = p
+                raw = blob.as_buffer()
+                k = raw.size // 20
+                held.append((np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.uint64, k, 8 * k), np.frombuffer(raw, np.int32, k, 16 * k).astype(np.int64)))
+                size += k
+                if size > 4 * SLICE:
+                    held = [merged(*[np.concatenate(x) for x in zip(*held, strict=True)])]
+                    size = len(held[0][0])
+        if held:
+            yield done()
+
+    dealt = map_arrow(texts, counted, "p bigint, blob binary").repartition(parts, "p").sortWithinPartitions("p")
+    return map_arrow(dealt, summed_up, "c bigint, s bigint, n bigint, key bigint")
 
 
 def level(counted: DataFrame, below: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
     """Contexts that are retained (key, n, value: log10 of the weight for the suffix), and n-grams: key, n, log10 probability lp,
     and value, what that is above weight and suffix; null where the context isn't retained and the suffix decides.
 
-    counted: c, s, n; below: key, n, lp of all n-grams shorter by one.
+    counted: c, s, n, key; below: key, n, lp of all n-grams shorter by one.
     """
     # by suffix first, then by context: what follows stays dealt by it
-    rows = with_keys(counted).join(below.select(F.col("key").alias("s"), F.col("lp").alias("parent")), "s")
+    rows = counted.join(below.select(F.col("key").alias("s"), F.col("lp").alias("parent")), "s")
     rows = durable(rows.join(below.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").select("c", "key", "n", "parent", "total"))
     weight = rows.groupBy("c").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("weight"))
     log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
@@ -229,7 +282,10 @@ def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN, floor: int =
     tables, known = [], None
     for length in range(1, order + 1):
         collect_garbage(spark)
-        contexts, below = level(count_grams(texts, length, known).where(F.col("n") >= floor), below, gain)
+        counted = durable(count_grams(texts, length, floor, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SLICE), known))
+        collect_garbage(spark)
+        contexts, below = level(counted, below, gain)
+        release(counted)
         head = (F.col("n") >= (HEAD if length > 1 else FREQUENT) * n) | (F.col("key") == start)
         tree.contexts.append(gathered_values(contexts.where(head).select("key", "value")))
         tree.next.append(gathered_values(below.where((F.col("n") >= HEAD * n) & F.col("value").isNotNull()).select("key", "value")))
@@ -246,10 +302,97 @@ def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN, floor: int =
     return tree, (counts.join(weights, "h", "left") if order else counts.withColumn("value", F.lit(None).cast("double")), tables)
 
 
+def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part: int, slices: int) -> DataFrame:
+    """_row, far: the sums of values (key, value) over the n-grams of each text (_row, text) that are beyond the head and in this part of the keys.
+
+    Tables and what documents ask of them are dealt by slices of the keys, as arrays in one value; a worker holds one slice of the tables, past which
+    the questions stream. Answers go back to their texts in the same way.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda keys: (keys >> np.uint64(20)) % np.uint64(PARTS) == part
+
+    def tables(batches):
+        for batch in batches:
+            keys, value = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            at = np.flatnonzero(own(keys))
+            order, found = sliced(keys[at], slices)
+            keys, value = keys[at][order], value[at][order]
+            blobs = [keys[a:b].tobytes() + value[a:b].tobytes() for _, a, b in found]
+            if found:
+                none = np.zeros(len(found), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(none - 1), pa.array(none), pa.array(blobs, pa.binary())], ["p", "base", "docs", "blob"])
+
+    def asked(batches):
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for a, b, part_ in pieces(batch.column(1), 2 << 20):
+                tokens, bounds = tokens_of(part_)
+                of = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(bounds))
+                keys, docs = [], []
+                for _, _, key, ok in grams(tokens, bounds, length):
+                    at = np.flatnonzero(ok & own(key) & maybe(tree.value.tail, key))
+                    keys.append(key[at])
+                    docs.append(of[at])
+                keys, docs = np.concatenate(keys), np.concatenate(docs)
+                order, found = sliced(keys, slices)
+                keys, docs = keys[order], docs[order]
+                blobs = [keys[x:y].tobytes() + docs[x:y].tobytes() for _, x, y in found]
+                if found:
+                    same = np.ones(len(found), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(same * rows[a]), pa.array(same * (b - a)), pa.array(blobs, pa.binary())], ["p", "base", "docs", "blob"])
+
+    def answered(batches):
+        now, held, table = None, [], None
+        for batch in batches:
+            out = []
+            for p, base, docs, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                raw = blob.as_buffer()
+                if p != now:
+                    now, held, table = p, [], None
+                if base < 0:
+                    k = raw.size // 16
+                    held.append((np.frombuffer(raw, np.uint64, k).copy(), np.frombuffer(raw, np.float64, k, 8 * k).copy()))
+                    continue
+                if table is None:
+                    keys, value = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0))
+                    # an n-gram can have a value of its own and one as a context
+                    table, held = summed(keys, value), []
+                k = raw.size // 12
+                at, have = find(table[0], np.frombuffer(raw, np.uint64, k))
+                if have.any():
+                    out.append((base, np.bincount(np.frombuffer(raw, np.uint32, k, 8 * k)[have], table[1][at[have]], docs).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["base", "blob"])
+
+    def added(batches):
+        now, total = None, None
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(np.arange(now, now + len(total))), pa.array(total)], ["_row", "far"])
+        for batch in batches:
+            for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(blob.as_buffer(), np.float64)
+                if base == now:
+                    total = total + more
+                else:
+                    if now is not None:
+                        yield told()
+                    now, total = base, more
+        if now is not None:
+            yield told()
+
+    schema = "p bigint, base bigint, docs bigint, blob binary"
+    both = values[0]
+    for t in values[1:]:
+        both = both.union(t)
+    both = map_arrow(both.select("key", "value"), tables, schema).union(map_arrow(texts.select("_row", "text"), asked, schema))
+    answers = map_arrow(both.repartition(parts, "p").sortWithinPartitions("p", "base"), answered, "base bigint, blob binary")
+    return map_arrow(answers.repartition(parts, "base").sortWithinPartitions("base"), added, "_row bigint, far double")
+
+
 def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of rows with doc_id, held_out, text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of rows with _row, consecutive in each partition, doc_id, held_out, text."""
     counts, far = tables
-    hold = docs.sparkSession.sparkContext.broadcast(tree)
+    spark = docs.sparkSession
+    hold = spark.sparkContext.broadcast(tree)
 
     def lists(keys, ends):
         """The distinct keys of each text, and how often it has them."""
@@ -260,15 +403,13 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
+            for a, b, texts in pieces(batch.column("text")):
                 t = hold.value
-                tokens, bounds = tokens_of(texts[a:b])
+                tokens, bounds = tokens_of(texts)
                 place, known = find(t.words, tokens)
                 lp = np.zeros(len(tokens))
                 if known.any():
                     lp[known] += t.root[place[known]]
-                far, seen = [], []
 
                 def add(table, keys, ok, lp=lp):
                     at, have = find(table[0], keys)
@@ -285,33 +426,25 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
                     add(t.next[k], key, ok)
                     if k + 1 < len(t.contexts):
                         add(t.contexts[k + 1], key, ok)
-                    where = np.flatnonzero(ok & maybe(t.tail, key))
-                    far.append(key[where])
-                    seen.append(where)
                 of = np.repeat(np.arange(b - a), np.diff(bounds))
                 base = np.bincount(of[known], t.base[place[known]], b - a) if known.any() else np.zeros(b - a)
                 rare, ends = tokens[~known], np.concatenate(([0], np.cumsum(~known)))[bounds]
-                seen = np.concatenate([np.empty(0, np.int64), *seen])
-                far = np.concatenate([np.empty(0, np.uint64), *far])[np.argsort(seen, kind="stable")]
-                far_ends = np.searchsorted(np.sort(seen), bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(a, b - a),
-                        batch.column("held_out").slice(a, b - a),
+                        *[batch.column(c).slice(a, b - a) for c in ("_row", "doc_id", "held_out")],
                         pa.array(np.diff(bounds).astype(np.int64)),
                         pa.array(np.bincount(of[known], minlength=b - a).astype(np.int64)),
                         pa.array(base),
                         pa.array(np.bincount(of, lp, b - a)),
                         lists(rare, ends),
-                        lists(far, far_ends),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare", "far"],
+                    ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(docs.select("doc_id", "held_out", "text"), run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, rare array<struct<h:bigint,n:int>>, far array<struct<h:bigint,n:int>>")
-    rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = durable(map_arrow(docs.select("_row", "doc_id", "held_out", "text"), run, f"_row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, rare array<struct<h:bigint,n:int>>"))
     n, v = tree.n, tree.v
+    # a word that no table knows counts alike wherever it stands, so those that stand often aren't gathered: parts of documents, then sums
     asked = rows.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.h").alias("h"), F.col("r.n").alias("m"))
     told = asked.join(counts.where(F.col("n") < FREQUENT * n), "h", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     # with nothing learned there is one event
@@ -320,17 +453,20 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
     sums = told.groupBy("_row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * base).alias("b"), F.sum(F.col("m") * (root + F.coalesce("value", F.lit(0.0)))).alias("s")
     )
-    out = rows.drop("rare", "far").join(sums, "_row", "left")
+    out = durable(rows.drop("rare").join(sums, "_row", "left"))
+    release(rows)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    for part in range(PARTS if far else 0):
-        own = lambda key: F.pmod(F.col(key), F.lit(PARTS)) == part  # noqa: E731, B023
-        asked = rows.select("_row", F.explode("far").alias("r")).select("_row", F.col("r.h").alias("key"), F.col("r.n").alias("m")).where(own("key"))
-        values = far[0]
-        for t in far[1:]:
-            values = values.union(t)
-        more = durable(asked.join(values.where(own("key")), "key").groupBy("_row").agg(F.sum(F.col("m") * F.col("value")).alias("far")))
-        out = out.join(more, "_row", "left").withColumn("lp", F.col("lp") + zero("far")).drop("far")
-        collect_garbage(docs.sparkSession)
+    if far:
+        collect_garbage(spark)
+        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(t.count() for t in far) // PARTS // SLICE)
+        more = []
+        for part in range(PARTS):
+            more.append(durable(looked_up(docs, hold, len(tree.next), far, part, slices)))
+            collect_garbage(spark)
+        whole = more[0]
+        for m in more[1:]:
+            whole = whole.union(m)
+        out = out.join(whole.groupBy("_row").agg(F.sum("far").alias("far")), "_row", "left").withColumn("lp", F.col("lp") + zero("far"))
     return out.select(
         "doc_id",
         "held_out",
@@ -344,6 +480,8 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:
     """Scores of all documents, learned from those that aren't held out."""
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    tree, tables = train(rows.where(~F.col("held_out")).select("text"), **options)
-    return score(rows, tree, tables)
+    with scratch() as keep:
+        # numbers are the same in each reading of a scan; what isn't one is written down
+        rows = with_rows(docs.select("doc_id", "text"), "_where").select(F.monotonically_increasing_id().alias("_row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+        tree, tables = train(rows.where(~F.col("held_out")).select("text"), **options)
+        return keep(durable(score(rows, tree, tables)))
