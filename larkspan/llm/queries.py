@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm import chat, decontam, fingerprints, jaccard_join, langid, lm_scoring, mixing, pii, secrets, sharding
 from larkspan.llm.common import table
+from larkspan.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan(table(spark, sf_dir, "documents"))
-    first = F.get("passes", F.lit(0))["position"].alias("first_position")
+    first = F.round(F.get("passes", F.lit(0))["position"], 9).alias("first_position")
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.size("passes").alias("n_passes"), first).orderBy("first_position", "doc_id")
 
 
@@ -82,23 +83,3 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
 }
-
-_ESC = r"replace(replace(replace({0}, '\', '\s'), '###', '\h'), '</turn>', '\t')"
-ORACLE_SQL = {
-    "op10_chat_formatting": rf"""
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), e AS (
-  SELECT *, {_ESC.format("text")} AS x, replace({_ESC.format("role")}, ':', '\c') AS r,
-    row_number() OVER w AS k, lag(role) OVER w AS prev
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(x) + 7 + CASE WHEN k = 1 THEN 6 + length(r) WHEN role <> prev THEN 7 + length(r) ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id""",
-}

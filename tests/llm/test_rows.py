@@ -1,0 +1,81 @@
+"""Rows with null and repeated ids, columns named like internal ones, written tables, and whole texts."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from larkspan.llm import common, decontam, fingerprints, jaccard_join, langid, mixing, sharding
+
+CLASH = ("_row", "_d", "_bad", "_position", "score", "lang_pred", "id", "h", "n", "sid", "root")
+LONG = " ".join(f"long{i % 7919}" for i in range(60_000))
+
+
+def docs_of(spark, rows):
+    """doc_id and text, with columns that operators may use themselves."""
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return d.withColumns({c: F.concat(F.lit(f"mine {c} "), F.coalesce("text", F.lit(""))) for c in CLASH})
+
+
+def values(df, columns):
+    return sorted(repr([r[c] for c in columns]) for r in df.collect())
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_rows_keep_their_columns(spark, tmp_path, written):
+    copy = "the same words stand here in every one of the copies"
+    other = "an entirely different text that stays here for itself alone"
+    rows = [(None, copy), (None, copy), (None, copy), (4, other), (4, other), (5, LONG), (6, LONG), (7, None), (8, ""), (None, "short")]
+    docs = docs_of(spark, rows)
+    if written:
+        docs.repartition(3).write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:5]) for r in kept.collect()) == [(-1, "short"), (-1, "the s"), (4, "an en"), (5, "long0"), (7, ""), (8, "")]
+    everything = set(values(docs, docs.columns))
+    for out in (kept, langid.keep_identified(docs), mixing.mix(docs), sharding.shard_with_texts(docs, 3).drop("shard", "slot"), sharding.shard_in_order(docs, 3).drop("shard", "slot")):
+        assert out.columns == docs.columns and set(values(out, docs.columns)) <= everything
+    assert langid.keep_identified(docs).count() == 8
+    assert values(sharding.shard_in_order(docs, 3), docs.columns) == values(docs, docs.columns)
+
+
+def test_decontamination_by_row(spark):
+    item = [f"item{k}" for k in range(30)]
+    first, second, whole = " ".join(item[:14]), " ".join(item[16:]), f"before {' '.join(item)} after"
+    again = " ".join([*item, "between"] * 400)
+    docs = docs_of(spark, [(1, first), (1, second), (None, whole), (None, whole), (2, "clean words only"), (3, again), (4, f"{LONG} {' '.join(item)}")])
+    bench = spark.createDataFrame([(9, " ".join(item)), (None, "clean words only and some more of them here it is")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["matched"], r["doc_start"]) for r in decontam.find_contamination(docs, bench).collect()}
+    assert found == {(None, 9, 30, 1), (3, 9, 30, 0), (4, 9, 30, 60_000)}
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == sorted([first, second, "clean words only"])
+    assert all(r["_bad"] == f"mine _bad {r['text']}" for r in left.collect())
+
+
+def test_fingerprints_of_extreme_and_repeated_ids(spark):
+    rows = [(-(2**63), "least of all ids"), (2**63 - 1, "greatest of all ids")] + [(7, f"one of many texts of an id {i}") for i in range(300)] + [(None, f"without an id {i}") for i in range(200)] + [(i, f"text {i}") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    notes = spark.createDataFrame([(7, 70), (3, 30)], "doc_id long, note long")
+    n, place = fingerprints.ranges(d.select("doc_id"), 40)
+    placed = place(d.withColumn("th", F.xxhash64("text")), F.col("th") / 2.0**64 + 0.5).groupBy("_b").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("_b").collect()
+    assert sum(r["k"] for r in placed) == len(rows) and max(r["k"] for r in placed) < 60 and max(r["_b"] for r in placed) < n
+    ids = [(r["hi"], r["lo"]) for r in placed if r["lo"] is not None]
+    assert all(a[1] >= b[0] for a, b in zip(ids[:-1], ids[1:], strict=True))
+    got = fingerprints.fingerprint_documents(d, notes.withColumnRenamed("note", "class_id")).collect()
+    assert len(got) == len(rows) and all(r["class_id"] == {7: 70, 3: 30}.get(r["doc_id"]) for r in got)
+
+
+def test_tables_go_and_results_stay(spark, sf_dir):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mine = sharding.shard_documents(docs)
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert mine.count() == docs.count() and out.count() > 0
+    after = set(os.listdir(folder)) - before
+    assert len(after) == 1 and next(iter(after)).startswith("pipeline-")
+    with common.scratch():
+        jaccard_join.group_documents(docs.limit(20)).collect()
+    assert set(os.listdir(folder)) - before == after
