@@ -8,6 +8,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -129,8 +130,10 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that are done, which it does as the driver forgets them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first frees can hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -164,17 +164,19 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
 def sliced(keys: np.ndarray, slices: int):
     """The order of keys by slice, and of each slice that has some its number and range in that order."""
     of = slice_of(keys, slices)
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.uint16) if slices < 1 << 16 else of, kind="stable")
     found, first = np.unique(of[order], return_index=True)
     return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)][: len(found)], strict=True))
 
 
-def merged(c: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n over equal c and s."""
-    order = np.lexsort((s, c))
-    c, s, n = c[order], s[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] != s[:-1]))))
-    return c[at], s[at], np.add.reduceat(n, at)
+def merged(c: np.ndarray, s: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams: c, s, sums of n (1 each) and keys, by key."""
+    key = joined(c, s)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(at, len(key))) if n is None else np.add.reduceat(n[order], at)
+    return c[order[at]], s[order[at]], n, key[at]
 
 
 def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=None) -> DataFrame:
@@ -187,8 +189,8 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
 
     def counted(batches):
         def send(held):
-            c, s, n = merged(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            order, found = sliced(joined(c, s), slices)
+            c, s, n, key = merged(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            order, found = sliced(key, slices)
             c, s, n = c[order], s[order], n[order].astype(np.int32)
             blobs = [c[a:b].tobytes() + s[a:b].tobytes() + n[a:b].tobytes() for _, a, b in found]
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array(blobs, pa.binary())], ["p", "blob"])
@@ -196,13 +198,11 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
         held, size = [], 0
         for batch in batches:
             for _, _, part in pieces(batch.column(0)):
-                *_, (context, suffix, key, ok) = grams(*tokens_of(part), length)
+                *_, (context, suffix, _, ok) = grams(*tokens_of(part), length)
                 at = np.flatnonzero(ok & maybe(known.value, context) & maybe(known.value, suffix) if known is not None else ok)
-                _, first, n = np.unique(key[at], return_index=True, return_counts=True)
-                at = at[first]
-                held.append((context[at], suffix[at], n))
+                held.append((context[at], suffix[at]))
                 size += len(at)
-                if size > 500_000:
+                if size > SLICE:
                     yield send(held)
                     held, size = [], 0
         if size:
@@ -212,10 +212,9 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
         held, size, now = [], 0, None
 
         def done():
-            c, s, n = merged(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            c, s, n, key = merged(*[np.concatenate(x) for x in zip(*held, strict=True)])
             at = n >= floor
-            c, s, n = c[at], s[at], n[at]
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(joined(c, s).view(np.int64))], ["c", "s", "n", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (c, s, n, key)], ["c", "s", "n", "key"])
 
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -228,7 +227,7 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
                 held.append((np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.uint64, k, 8 * k), np.frombuffer(raw, np.int32, k, 16 * k).astype(np.int64)))
                 size += k
                 if size > 4 * SLICE:
-                    held = [merged(*[np.concatenate(x) for x in zip(*held, strict=True)])]
+                    held = [merged(*[np.concatenate(x) for x in zip(*held, strict=True)])[:3]]
                     size = len(held[0][0])
         if held:
             yield done()
@@ -246,6 +245,7 @@ def level(counted: DataFrame, below: DataFrame, gain: float) -> tuple[DataFrame,
     # by suffix first, then by context: what follows stays dealt by it
     rows = counted.join(below.select(F.col("key").alias("s"), F.col("lp").alias("parent")), "s")
     rows = durable(rows.join(below.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").select("c", "key", "n", "parent", "total"))
+    collect_garbage(rows.sparkSession)
     weight = rows.groupBy("c").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("weight"))
     log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
     own = rows.join(weight, "c").withColumn("p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("weight") * F.pow(F.lit(10.0), "parent"))
@@ -256,10 +256,12 @@ def level(counted: DataFrame, below: DataFrame, gain: float) -> tuple[DataFrame,
         (F.sum(F.col("n") * (log(F.col("p")) - F.col("parent") * np.log(10))) + (F.max("total") - F.sum("n")) * F.log(F.greatest(F.first("weight"), F.lit(1e-12)))).alias("more"),
     )
     contexts = durable(more.where(F.col("more") > gain * F.col("next")).select(F.col("c").alias("key"), "n", F.log10(F.greatest("weight", F.lit(1e-12))).alias("value"), "weight"))
+    collect_garbage(rows.sparkSession)
     told = rows.join(contexts.select(F.col("key").alias("c"), "value", "weight"), "c", "left")
     p = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.col("weight") * F.pow(F.lit(10.0), "parent"))
     known = durable(told.select("key", "n", F.coalesce(p, "parent").alias("lp"), (p - F.col("value") - F.col("parent")).alias("value")))
     release(rows)
+    collect_garbage(contexts.sparkSession)
     return contexts, known
 
 
