@@ -121,3 +121,8 @@ def render_comparison(comparison: DataFrame, test_size: int) -> str:
     line = lambda name, r: f"{name:<26}{r['finetuned']:>10.4f}{r['baseline']:>10.4f}{r['delta']:>+10.4f}"
     head = f"Test examples: {test_size}\n\n{'Metric':<26}{'finetuned':>10}{'baseline':>10}{'delta':>10}"
     return "\n".join([head, *[line(m, rows[m]) for m in METRICS], "", *[line(f"F1 {x}", rows[f"f1:{x}"]) for x in sorted(LABELS)]]) + "\n"
+
+
+def count_passed(checked: DataFrame) -> DataFrame:
+    """passed and targets: how many of the rows of check_targets hold, a metric without a value doesn't."""
+    return checked.agg(F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"), F.count("*").alias("targets"))

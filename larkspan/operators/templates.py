@@ -81,3 +81,7 @@ def generate(spark: SparkSession, templates: DataFrame, count: int, seed: object
     cyc = rows.join(F.broadcast(templates), (F.col("_d") == F.col("domain_idx")) & (F.col("_k") % F.col("n_patterns") == F.col("pattern_idx")))
     return cyc.select("row", fill(F.col("text_template"), seed, F.col("row")).alias("text"), "labels", "risk", F.when(F.col("risk") == "LOW", "").otherwise(fill(F.col("rationale_template"), f"{seed}-r", F.col("row"))).alias("rationale"), F.lit(False).alias("is_hard_negative"), "domain", F.lit("template").alias("source"))
 
+
+def placeholders(pattern: Column) -> Column:
+    """The names of a pattern's slots in their order, repeated ones too."""
+    return F.regexp_extract_all(pattern, F.lit(SLOT), F.lit(1))

@@ -17,7 +17,8 @@ from larkspan.operators import baseline, datasets, hook, metrics, templates, tfi
 from larkspan.plans import derived
 from larkspan.plans.derived import SQL_EXAMPLES, SQL_PAIRS, examples, predictions, preds_b, table
 from larkspan.sources.dataset_io import read_dataset, write_dataset
-from larkspan.sources.templates import label_support, template_table
+from larkspan.sources.reports import read_report, write_report
+from larkspan.sources.templates import label_support, missing_labels, template_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -506,8 +507,40 @@ def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SPLIT_SQL} SELECT id, md5(text) AS text_md5, array_to_string(labels, ',') AS labels, risk, rationale, is_hard_negative, split, domain, source FROM dataset")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/larkspan-dataset-{uuid.uuid4().hex}"
+    path = _folder(spark)
     write_dataset(dataset(spark, sf_dir), path)
     out = read_dataset(spark, path)
     return out.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), joined("labels").alias("labels"), "risk", "rationale", "is_hard_negative", "split", "domain", "source")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir; only where all of Spark runs on this machine may that be unset."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return f"{base or tempfile.gettempdir()}/larkspan-{uuid.uuid4().hex}"
+
+
+@query(ORACLE_SQL["evaluation_report"])
+def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    write_report(metrics.evaluation_report(pairs(spark, sf_dir), "a"), path)
+    out = read_report(spark, path).withColumn("violations", F.array_join(report_violations(), ","))
+    return out.drop("f1_by_label").withColumns(six(*_REPORT))
+
+
+@query(f"SELECT count(*) FILTER (passed) AS passed, count(*) AS targets FROM ({ORACLE_SQL['targets_check']})")
+def targets_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.count_passed(metrics.check_targets(metrics.evaluation_report(pairs(spark, sf_dir), "a")))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all('{A' || doc_id % 5 || '} ' || coalesce(text, '') || ' {B_1} {A0} { C} {}', '\\{(\\w+)\\}', 1), ',') AS slots FROM documents")
+def template_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = F.concat(F.lit("{A"), F.col("doc_id") % 5, F.lit("} "), F.coalesce("text", F.lit("")), F.lit(" {B_1} {A0} { C} {}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(templates.placeholders(pattern), ",").alias("slots"))
+
+
+@query(f"""{SQL_EXAMPLES} SELECT risk, domain, array_to_string(list_sort(list_filter([{", ".join(f"'{x}'" for x in LABELS)}], lambda x: NOT list_contains(flatten(list(labels)), x))), ',') AS missing
+FROM examples GROUP BY risk, domain""")
+def missing_label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_labels(examples(spark, sf_dir), LABELS, "risk", "domain").withColumn("missing", joined("missing"))

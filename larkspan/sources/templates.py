@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,9 @@ def load_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_support(templates: DataFrame) -> DataFrame:
     return templates.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("patterns"))
+
+
+def missing_labels(rows: DataFrame, wanted: Sequence[str], *by: str) -> DataFrame:
+    """by and missing: the wanted labels that no row (labels) of a group has, in order. A group gathers no more than each label once."""
+    have = rows.select(*by, F.explode_outer("labels").alias("label")).groupBy(*by).agg(F.collect_set("label").alias("have"))
+    return have.select(*by, F.array_sort(F.array_except(F.array(*[F.lit(x) for x in wanted]), "have")).alias("missing"))
