@@ -61,16 +61,18 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, hashes: Sequence[str] = ()) -> DataFrame:
     """`df` as a written table in the shared folder: its lineage ends there, and no lost executor costs its rows.
 
+    hashes: columns of few equal values, for which no dictionary is tried.
+
     What isn't a function of the input alone (partition ids, generated ids, samples) gets fixed by this. The innermost
     open scope owns the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     owned(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspan_path = path
     return out

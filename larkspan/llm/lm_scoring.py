@@ -23,12 +23,14 @@ are 0 and every token has probability 1; extra columns are ignored; an empty tab
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.arrays import Counter, find, mix, pieces, summed, words_of
+from larkspan.llm.arrays import Counter, Index, find, mix, pieces, summed, words_of
 from larkspan.llm.common import collect_garbage, durable, map_arrow, release, scratch, with_rows
 
 #: The end of a text, a symbol beside the words.
@@ -45,8 +47,10 @@ DISCOUNT = 0.75
 GAIN = 2.0
 #: 64-bit words of a filter.
 SLOTS = 1 << 21
+#: Ranges of a filter's words, each of which is a row.
+RANGES = 1 << 12
 #: Passes over the texts, each for a share of the keys, in which documents' n-grams are looked up, so that less is shuffled at a time.
-PARTS = 2
+PARTS = 1
 #: Tokens, or keys of a table, for each slice of the keys; a slice is held by one worker at a time.
 SLICE = 1_000_000
 
@@ -96,21 +100,54 @@ def gathered_values(df: DataFrame) -> list[np.ndarray]:
     return [keys[at], values[at]]
 
 
+def filter_bits(keys: np.ndarray) -> np.ndarray:
+    """Of each key the two bits that it sets in its word of a filter."""
+    one = np.uint64(1)
+    return (one << ((keys >> np.uint64(21)) & np.uint64(63))) | (one << ((keys >> np.uint64(27)) & np.uint64(63)))
+
+
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of SLOTS words over the column key: two bits of one word for each."""
-    bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {at}) & 63 as int))")
-    slots = keys.groupBy(F.expr(f"cast(key & {SLOTS - 1} as int)").alias("slot")).agg(F.bit_or(bit(21).bitwiseOR(bit(27))).alias("bits"))
-    # at most SLOTS rows
-    t = slots.toArrow()
+    """A Bloom filter of SLOTS words over the column key. Tasks' words meet by ranges of them."""
+    width = SLOTS // RANGES
+
+    def local(batches):
+        words = np.zeros(SLOTS, np.uint64)
+        for batch in batches:
+            k = batch.column(0).to_numpy().view(np.uint64)
+            slot = (k & np.uint64(SLOTS - 1)).astype(np.int64)
+            order = np.argsort(slot)
+            slot = slot[order]
+            at = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))[: len(slot)]
+            if len(at):
+                words[slot[at]] |= np.bitwise_or.reduceat(filter_bits(k)[order], at)
+        at = np.flatnonzero(words)
+        ends = np.searchsorted(at, np.arange(0, SLOTS + 1, width))
+        some = np.flatnonzero(np.diff(ends))
+        blobs = [(at[a:b] - p * width).astype(np.uint32).tobytes() + words[at[a:b]].tobytes() for p, a, b in zip(some.tolist(), ends[some].tolist(), ends[some + 1].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(blobs, pa.binary())], ["p", "blob"])
+
+    def whole(batches):
+        held: dict[int, np.ndarray] = {}  # ranges of this task, RANGES at most in all
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = blob.as_buffer()
+                k = raw.size // 12
+                words = held.setdefault(p, np.zeros(width, np.uint64))
+                words[np.frombuffer(raw, np.uint32, k)] |= np.frombuffer(raw[4 * k :], np.uint64, k)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([w.tobytes() for w in held.values()], pa.binary())], ["p", "blob"])
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "p bigint, blob binary"
     out = np.zeros(SLOTS, np.uint64)
-    out[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    # at most RANGES rows
+    for p, blob in map_arrow(map_arrow(keys, local, schema).repartition(min(parts, RANGES), "p"), whole, schema).collect():
+        out[p * width : (p + 1) * width] = np.frombuffer(bytes(blob), np.uint64)
     return out
 
 
 def maybe(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False for a key that isn't in the filter."""
-    one = np.uint64(1)
-    bits = (one << ((keys >> np.uint64(21)) & np.uint64(63))) | (one << ((keys >> np.uint64(27)) & np.uint64(63)))
+    bits = filter_bits(keys)
     return bloom[(keys & np.uint64(SLOTS - 1)).astype(np.int64)] & bits == bits
 
 
@@ -145,6 +182,24 @@ class Tree:
         self.next: list[list[np.ndarray]] = []  # for each length: keys of context and word, log10 of the gain over weight and suffix
         self.tail: np.ndarray = np.zeros(SLOTS, np.uint64)  # filter of n-grams beyond the head
 
+    def ready(self) -> None:
+        """Sets up what scoring searches, once all tables are there."""
+        self.places = Index(self.words)
+        #: by place, what a word adds by itself and as the context of what follows it
+        self.own = self.root.copy()
+        self.opening = 0.0
+        self.levels = []  # for each length: keys and values of n-grams, and of the contexts that are longer by one
+        for k, known in enumerate(self.next):
+            longer = self.contexts[k + 1] if k + 1 < len(self.contexts) else None
+            self.levels.append(((Index(known[0]), known[1]), longer and (Index(longer[0]), longer[1])))
+        if self.contexts:
+            keys, weights = self.contexts[0]
+            at, have = find(keys, self.words)
+            if have.any():
+                self.own[have] += weights[at[have]]
+            at, have = find(keys, np.array([START]))
+            self.opening = weights[at[0]] if have[0] else 0.0
+
     def parent(self, length: int, suffix: np.ndarray, word: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log10 probability of words after the suffix of `length`, as far as the head knows; suffix[k - 1]: the key of its last k symbols."""
         out, key = self.root[place].copy(), word
@@ -236,15 +291,16 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
     return map_arrow(dealt, summed_up, "c bigint, s bigint, n bigint, key bigint")
 
 
-def level(counted: DataFrame, below: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
+def level(counted: DataFrame, below: DataFrame, gain: float, last: bool) -> tuple[DataFrame, DataFrame]:
     """Contexts that are retained (key, n, value: log10 of the weight for the suffix), and n-grams: key, n, log10 probability lp,
     and value, what that is above weight and suffix; null where the context isn't retained and the suffix decides.
 
-    counted: c, s, n, key; below: key, n, lp of all n-grams shorter by one.
+    counted: c, s, n, key; below: key, n, lp of all n-grams shorter by one. last: nothing is built on these n-grams, so that
+    of those with a value key, n and value are enough.
     """
     # by suffix first, then by context: what follows stays dealt by it
     rows = counted.join(below.select(F.col("key").alias("s"), F.col("lp").alias("parent")), "s")
-    rows = durable(rows.join(below.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").select("c", "key", "n", "parent", "total"))
+    rows = durable(rows.join(below.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").select("c", "key", "n", "parent", "total"), ["c", "key"])
     collect_garbage(rows.sparkSession)
     weight = rows.groupBy("c").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("weight"))
     log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
@@ -255,11 +311,12 @@ def level(counted: DataFrame, below: DataFrame, gain: float) -> tuple[DataFrame,
         F.count("*").alias("next"),
         (F.sum(F.col("n") * (log(F.col("p")) - F.col("parent") * np.log(10))) + (F.max("total") - F.sum("n")) * F.log(F.greatest(F.first("weight"), F.lit(1e-12)))).alias("more"),
     )
-    contexts = durable(more.where(F.col("more") > gain * F.col("next")).select(F.col("c").alias("key"), "n", F.log10(F.greatest("weight", F.lit(1e-12))).alias("value"), "weight"))
+    contexts = durable(more.where(F.col("more") > gain * F.col("next")).select(F.col("c").alias("key"), "n", F.log10(F.greatest("weight", F.lit(1e-12))).alias("value"), "weight"), ["key"])
     collect_garbage(rows.sparkSession)
-    told = rows.join(contexts.select(F.col("key").alias("c"), "value", "weight"), "c", "left")
+    told = rows.join(contexts.select(F.col("key").alias("c"), "value", "weight"), "c", "inner" if last else "left")
     p = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.col("weight") * F.pow(F.lit(10.0), "parent"))
-    known = durable(told.select("key", "n", F.coalesce(p, "parent").alias("lp"), (p - F.col("value") - F.col("parent")).alias("value")))
+    lp = [] if last else [F.coalesce(p, "parent").alias("lp")]
+    known = durable(told.select("key", "n", *lp, (p - F.col("value") - F.col("parent")).alias("value")), ["key"])
     release(rows)
     collect_garbage(contexts.sparkSession)
     return contexts, known
@@ -284,9 +341,9 @@ def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN, floor: int =
     tables, known = [], None
     for length in range(1, order + 1):
         collect_garbage(spark)
-        counted = durable(count_grams(texts, length, floor, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SLICE), known))
+        counted = durable(count_grams(texts, length, floor, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SLICE), known), ["c", "s", "key"])
         collect_garbage(spark)
-        contexts, below = level(counted, below, gain)
+        contexts, below = level(counted, below, gain, length == order)
         release(counted)
         head = (F.col("n") >= (HEAD if length > 1 else FREQUENT) * n) | (F.col("key") == start)
         tree.contexts.append(gathered_values(contexts.where(head).select("key", "value")))
@@ -298,8 +355,9 @@ def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN, floor: int =
         tables.append(below.where((F.col("n") < HEAD * n) & F.col("value").isNotNull()).select("key", "value"))
         if length < order:
             known = spark.sparkContext.broadcast(filter_of(below.select("key")))
-    for t in tables:
-        tree.tail |= filter_of(t.select("key"))
+    keys = [t.select("key") for t in tables]
+    if keys:
+        tree.tail = filter_of(reduce(DataFrame.union, keys))
     collect_garbage(spark)
     return tree, (counts.join(weights, "h", "left") if order else counts.withColumn("value", F.lit(None).cast("double")), tables)
 
@@ -316,9 +374,8 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
     def tables(batches):
         for batch in batches:
             keys, value = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            at = np.flatnonzero(own(keys))
-            order, found = sliced(keys[at], slices)
-            keys, value = keys[at][order], value[at][order]
+            order, found = sliced(keys, slices)
+            keys, value = keys[order], value[order]
             blobs = [keys[a:b].tobytes() + value[a:b].tobytes() for _, a, b in found]
             if found:
                 none = np.zeros(len(found), np.int64)
@@ -332,7 +389,8 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
                 of = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(bounds))
                 keys, docs = [], []
                 for _, _, key, ok in grams(tokens, bounds, length):
-                    at = np.flatnonzero(ok & own(key) & maybe(tree.value.tail, key))
+                    at = np.flatnonzero(ok & own(key))
+                    at = at[maybe(tree.value.tail, key[at])]
                     keys.append(key[at])
                     docs.append(of[at])
                 keys, docs = np.concatenate(keys), np.concatenate(docs)
@@ -382,10 +440,8 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
             yield told()
 
     schema = "p bigint, base bigint, docs bigint, blob binary"
-    both = values[0]
-    for t in values[1:]:
-        both = both.union(t)
-    both = map_arrow(both.select("key", "value"), tables, schema).union(map_arrow(texts.select("_row", "text"), asked, schema))
+    here = reduce(DataFrame.union, values).where(F.shiftrightunsigned("key", 20) % PARTS == part)
+    both = map_arrow(here.select("key", "value"), tables, schema).union(map_arrow(texts.select("_row", "text"), asked, schema))
     answers = map_arrow(both.repartition(parts, "p").sortWithinPartitions("p", "base"), answered, "base bigint, blob binary")
     return map_arrow(answers.repartition(parts, "base").sortWithinPartitions("base"), added, "_row bigint, far double")
 
@@ -394,43 +450,36 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of rows with _row, consecutive in each partition, doc_id, held_out, text."""
     counts, far = tables
     spark = docs.sparkSession
+    tree.ready()
     hold = spark.sparkContext.broadcast(tree)
 
-    def lists(keys, ends):
-        """The distinct keys of each text, and how often it has them."""
-        each = [summed(keys[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        h, n = (np.concatenate([x[i] for x in each]) for i in (0, 1))
-        flat = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[0]) for x in each]]).astype(np.int32)), flat)
+    def lists(keys, of, n_texts):
+        """The distinct keys of each text, and how often it has them; of: the text of each key."""
+        order = np.lexsort((keys, of))
+        keys, of = keys[order], of[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        flat = pa.StructArray.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(np.diff(np.append(at, len(keys))).astype(np.int32))], ["h", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(n_texts + 1)).astype(np.int32)), flat)
 
     def run(batches):
         for batch in batches:
             for a, b, texts in pieces(batch.column("text")):
                 t = hold.value
                 tokens, bounds = tokens_of(texts)
-                place, known = find(t.words, tokens)
+                place, known = t.places.find(tokens)
                 lp = np.zeros(len(tokens))
                 if known.any():
-                    lp[known] += t.root[place[known]]
-
-                def add(table, keys, ok, lp=lp):
-                    at, have = find(table[0], keys)
-                    have &= ok
-                    if have.any():
-                        lp[have] += table[1][at[have]]
-
-                if t.contexts:
-                    # a word's weight as the context of what follows it, and that of the start
-                    add(t.contexts[0], tokens, known)
-                    at, have = find(t.contexts[0][0], np.array([START]))
-                    lp[bounds[:-1]] += t.contexts[0][1][at[0]] if have[0] else 0.0
-                for k, (_, _, key, ok) in enumerate(grams(tokens, bounds, len(t.next))):
-                    add(t.next[k], key, ok)
-                    if k + 1 < len(t.contexts):
-                        add(t.contexts[k + 1], key, ok)
+                    lp[known] = t.own[place[known]]
+                lp[bounds[:-1]] += t.opening
+                for (_, _, key, ok), tables in zip(grams(tokens, bounds, len(t.levels)), t.levels, strict=True):
+                    for index, values in filter(None, tables):
+                        at, have = index.find(key)
+                        have &= ok
+                        lp[have] += values[at[have]]
                 of = np.repeat(np.arange(b - a), np.diff(bounds))
                 base = np.bincount(of[known], t.base[place[known]], b - a) if known.any() else np.zeros(b - a)
-                rare, ends = tokens[~known], np.concatenate(([0], np.cumsum(~known)))[bounds]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c).slice(a, b - a) for c in ("_row", "doc_id", "held_out")],
@@ -438,7 +487,7 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
                         pa.array(np.bincount(of[known], minlength=b - a).astype(np.int64)),
                         pa.array(base),
                         pa.array(np.bincount(of, lp, b - a)),
-                        lists(rare, ends),
+                        lists(tokens[~known], of[~known], b - a),
                     ],
                     ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare"],
                 )
