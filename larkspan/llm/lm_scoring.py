@@ -371,6 +371,8 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = lambda keys: (keys >> np.uint64(20)) % np.uint64(PARTS) == part
 
+    numbers = lambda docs: np.uint16 if docs <= 1 << 16 else np.uint32
+
     def tables(batches):
         for batch in batches:
             keys, value = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
@@ -386,7 +388,7 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
             rows = batch.column(0).to_numpy()
             for a, b, part_ in pieces(batch.column(1), 2 << 20):
                 tokens, bounds = tokens_of(part_)
-                of = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(bounds))
+                of = np.repeat(np.arange(b - a, dtype=numbers(b - a)), np.diff(bounds))
                 keys, docs = [], []
                 for _, _, key, ok in grams(tokens, bounds, length):
                     at = np.flatnonzero(ok & own(key))
@@ -416,11 +418,13 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
                 if table is None:
                     keys, value = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0))
                     # an n-gram can have a value of its own and one as a context
-                    table, held = summed(keys, value), []
-                k = raw.size // 12
-                at, have = find(table[0], np.frombuffer(raw, np.uint64, k))
+                    keys, value = summed(keys, value)
+                    table, held = (Index(keys), value), []
+                number = numbers(docs)
+                k = raw.size // (8 + number().itemsize)
+                at, have = table[0].find(np.frombuffer(raw, np.uint64, k))
                 if have.any():
-                    out.append((base, np.bincount(np.frombuffer(raw, np.uint32, k, 8 * k)[have], table[1][at[have]], docs).tobytes()))
+                    out.append((base, np.bincount(np.frombuffer(raw, number, k, 8 * k)[have], table[1][at[have]], docs).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["base", "blob"])
 
