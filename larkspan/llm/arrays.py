@@ -13,6 +13,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BLOCK = 1 << 18
+#: By byte: what it counts in a hash, A-Z as a-z.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -40,14 +42,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _blank(b: np.ndarray) -> np.ndarray:
+    # bytes below 9 wrap round
+    return (b == 32) | (b - np.uint8(9) <= 4)
+
+
 def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes of the words of a block; A-Z count as a-z."""
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint64) + np.uint64(1)
+    blank = np.ones(len(b) + 2, bool)
+    blank[1:-1] = _blank(b)
+    # words begin and end by turns
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    first, last = edge[::2], edge[1::2]
+    low = np.frombuffer(b.tobytes().translate(LOWER), np.uint8).astype(np.uint64)
+    low += np.uint64(1)
+    low *= powers(BASE, len(b))
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(low * powers(BASE, len(b)), out=sums[1:])
+    np.cumsum(low, out=sums[1:])
     return mix((sums[last] - sums[first]) * powers(INVERSE, len(b) + 1)[first] + (last - first).astype(np.uint64)), first
 
 
@@ -59,12 +70,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         end = min(at + BLOCK, len(b))
         if end < len(b):
             window = b[at:end]
-            blanks = np.flatnonzero((window == 32) | ((window >= 9) & (window <= 13)))
+            blanks = np.flatnonzero(_blank(window))
             if len(blanks):
                 end = at + int(blanks[-1]) + 1
             else:  # a word longer than a block
                 rest = b[end:]
-                blanks = np.flatnonzero((rest == 32) | ((rest >= 9) & (rest <= 13)))
+                blanks = np.flatnonzero(_blank(rest))
                 end = end + int(blanks[0]) + 1 if len(blanks) else len(b)
         h, f = _block(b[at:end])
         hashes.append(h)

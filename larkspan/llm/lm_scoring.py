@@ -254,7 +254,12 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
         for batch in batches:
             for _, _, part in pieces(batch.column(0)):
                 *_, (context, suffix, _, ok) = grams(*tokens_of(part), length)
-                at = np.flatnonzero(ok & maybe(known.value, context) & maybe(known.value, suffix) if known is not None else ok)
+                if known is not None:
+                    # a context is what the suffix was a token before; where none precedes, so much doesn't
+                    have = maybe(known.value, suffix)
+                    ok[1:] &= have[:-1]
+                    ok &= have
+                at = np.flatnonzero(ok)
                 held.append((context[at], suffix[at]))
                 size += len(at)
                 if size > SLICE:
