@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat, decontam, fingerprints, jaccard_join, langid, lm_scoring, mixing, pii, secrets, sharding
+from larkspan.llm import chat, decontam, fingerprints, jaccard_join, langid, lm_scoring, mixing, oracles, pii, quantize, secrets, sharding, vector_oracles
 from larkspan.llm.common import table
-from larkspan.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +70,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compressed_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_secret_scan": op2_secret_scan,
@@ -82,4 +85,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_vector_compression": op12_vector_compression,
 }
+ORACLE_SQL = oracles.ORACLE_SQL | vector_oracles.ORACLE_SQL
