@@ -216,15 +216,19 @@ def prefixes(spark, percent: int, x: int, order: tuple[np.ndarray, np.ndarray])
     return posts
 
 
-def met(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def posted_lists(sets: DataFrame) -> DataFrame:
+    """h, sid, size: the keys under which sets are posted; size holds the number of elements and below it the most of them that two sets share that meet there first."""
+    size = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("p.most").cast("long"))
+    return sets.where(F.size("keys") > 0).select("sid", "n", F.explode(F.arrays_zip("keys", "most")).alias("p")).select(F.col("p.keys").alias("h"), "sid", size.alias("size"))
+
+
+def met(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """hub, sid: pairs, each once, of a list's first `HUBS` classes with all others of it, if they can link; and h, sid, n, most, hub of the
     classes that aren't among the first of their lists, with the very first. Both from one written table.
 
     A pass over postings that are dealt by h and sorted; what goes from batch to batch is the head of one list.
     """
-    size = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("p.most").cast("long"))
-    lists = sets.where(F.size("keys") > 0).select("sid", "n", F.explode(F.arrays_zip("keys", "most")).alias("p")).select(F.col("p.keys").alias("h"), "sid", size.alias("size"))
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         head, seen, last = np.empty((3, 0), np.int64), 0, None  # of the list that may go on: first rows, how many rows, the last
@@ -315,10 +319,10 @@ def verified(docs: DataFrame, n: int, percent: int, pairs: DataFrame, facts: Dat
     return out
 
 
-def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """sid, root: the components, of more than one class of equal sets, by links between classes that meet in a list."""
+def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, lists: DataFrame | None = None) -> DataFrame:
+    """sid, root: the components, of more than one class of equal sets, by links between classes that meet in a list; lists: as posted_lists(sets) gives them."""
     spark = docs.sparkSession
-    pairs, lists = met(sets, percent)
+    pairs, lists = met(posted_lists(sets) if lists is None else lists, percent)
     collect_garbage(spark)
     facts = durable(sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("th").alias("th")))
     of = lambda c: facts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat, decontam, fingerprints, jaccard_join, langid, lm_scoring, mixing, oracles, pii, quantize, secrets, sharding, vector_oracles
+from larkspan.llm import chat, chosen_path, decontam, fingerprints, hard_negatives, jaccard_join, langid, lm_scoring, mixing, oracles, pii, quantize, secrets, sharding, vector_oracles
 from larkspan.llm.common import table
 
 
@@ -70,10 +70,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op12_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize.compressed_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_secret_scan": op2_secret_scan,
@@ -85,6 +93,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_vector_compression": op12_vector_compression,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 ORACLE_SQL = oracles.ORACLE_SQL | vector_oracles.ORACLE_SQL

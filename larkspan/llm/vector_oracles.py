@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries on embeddings."""
 
-from larkspan.llm import quantize
+from larkspan.llm import hard_negatives, quantize
 
 
 def _vectors(factor: int, also: str = "") -> str:
@@ -26,6 +26,17 @@ def _compression(parts: int, entries: int, rounds: int, scale: int) -> str:
     return f"WITH {', '.join([*steps, last])} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, ({book}) AS codebooks_sha256 FROM w JOIN o USING (k)"
 
 
+def _negatives(factor: int, anchors: int, k: int) -> str:
+    score = "CAST(list_dot_product(a.v, b.v) AS BIGINT)"
+    return f"""WITH w AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_vectors(factor, "AND label IS NOT NULL")})),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {score} AS score FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % {anchors} = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {k})
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= {k}"""
+
+
 ORACLE_SQL = {
+    "op11_hard_negatives": _negatives(hard_negatives.FACTOR, hard_negatives.ANCHORS, hard_negatives.K),
     "op12_vector_compression": _compression(quantize.PARTS, quantize.ENTRIES, quantize.ROUNDS, quantize.SCALE),
 }
