@@ -49,6 +49,11 @@ def batch_limit(model: Column, kind: str) -> Column:
     return F.greatest(F.lit(LEAST_BATCH), F.floor(budget / TOKENS_PER_EXAMPLE[kind])).cast("bigint")
 
 
+def batch_size(model: str, kind: str) -> int:
+    """batch_limit of one model."""
+    return max(LEAST_BATCH, TOKEN_BUDGETS.get(model, DEFAULT_BUDGET) // TOKENS_PER_EXAMPLE[kind])
+
+
 def over_requested(n: Column) -> Column:
     return F.ceil(n * F.lit(OVER_REQUEST)).cast("bigint")
 

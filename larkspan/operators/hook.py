@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.features import PATTERNS
+from larkspan.functions.features import flags
 from larkspan.functions.jsonx import kind
 
 HOOKS = ("user_prompt", "pre_tool_use", "post_tool_use")
@@ -28,7 +28,7 @@ def hook_text(hook: Column, payload: Column) -> Column:
 
 def pattern_predictor(text: Column) -> Column:
     """A predictor without a model: credentials by pattern. Models come as functions from a column to such a struct."""
-    hit = text.rlike(PATTERNS["has_credential_pattern"])
+    hit = flags(text)["has_credential_pattern"] == 1
     none = F.array().cast("array<string>")
     return F.struct(F.when(hit, F.array(F.lit("CREDENTIAL"))).otherwise(none).alias("labels"), F.when(hit, "HIGH").otherwise("LOW").alias("risk"), F.when(hit, "PII type detected: CREDENTIAL").otherwise("").alias("rationale"))
 

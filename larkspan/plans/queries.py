@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from larkspan.functions.schema import LABELS
 from larkspan.operators import baseline, datasets, hook, metrics, templates, tfidf, validation
 from larkspan.plans import derived
 from larkspan.plans.derived import SQL_EXAMPLES, SQL_PAIRS, examples, predictions, preds_b, table
+from larkspan.sources.cluster import new_folder
 from larkspan.sources.dataset_io import read_dataset, write_dataset
 from larkspan.sources.reports import read_report, write_report
 from larkspan.sources.templates import label_support, missing_labels, template_table
@@ -249,10 +248,16 @@ def _responses(data: DataFrame, shift: bool) -> tuple[DataFrame, DataFrame]:
     return numbered, replies.select("batch", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]")).alias("response"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table that a query reads more than once, in the shared folder; it goes as the process ends."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _match(spark: SparkSession, sf_dir: str, shift: bool) -> DataFrame:
-    base = dataset(spark, sf_dir).persist()
-    data, replies = _responses(base, shift)
-    data, replies = data.persist(), replies.persist()
+    base = written(dataset(spark, sf_dir))
+    data, replies = (written(t) for t in _responses(base, shift))
     rows = data.drop("batch", "place").unionByName(base.where("source = 'template'"))
     out = validation.through(rows, lambda _: validation.match(data, replies))
     return out.select("id", joined("labels").alias("labels"), "risk", "rationale")
@@ -507,23 +512,15 @@ def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SPLIT_SQL} SELECT id, md5(text) AS text_md5, array_to_string(labels, ',') AS labels, risk, rationale, is_hard_negative, split, domain, source FROM dataset")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = new_folder(spark)
     write_dataset(dataset(spark, sf_dir), path)
     out = read_dataset(spark, path)
     return out.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), joined("labels").alias("labels"), "risk", "rationale", "is_hard_negative", "split", "domain", "source")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; only where all of Spark runs on this machine may that be unset."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return f"{base or tempfile.gettempdir()}/larkspan-{uuid.uuid4().hex}"
-
-
 @query(ORACLE_SQL["evaluation_report"])
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = new_folder(spark)
     write_report(metrics.evaluation_report(pairs(spark, sf_dir), "a"), path)
     out = read_report(spark, path).withColumn("violations", F.array_join(report_violations(), ","))
     return out.drop("f1_by_label").withColumns(six(*_REPORT))
