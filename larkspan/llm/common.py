@@ -154,10 +154,14 @@ def _only_scan(plan) -> bool:
     return name in ("Project", "Filter", "SubqueryAlias") and _only_scan(plan.children().head())
 
 
+def only_scan(docs: DataFrame) -> bool:
+    return _only_scan(docs._jdf.queryExecution().analyzed())
+
+
 def with_rows(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a string column `name` that is unique and the same in each reading, so that what is found on narrow
     rows can be joined back to them: file and place in it, or where docs isn't a scan of files, a number that is written down with them."""
-    if _only_scan(docs._jdf.queryExecution().analyzed()):
+    if only_scan(docs):
         with contextlib.suppress(AnalysisException):
             return docs.select("*", F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(name))
     return durable(docs.withColumn(name, F.monotonically_increasing_id().cast("string")))

@@ -125,9 +125,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> Data
     doc_start is the smallest token position at which a verified diagonal enters the item.
     """
     with scratch() as keep:
-        rows = with_rows(docs, "_row") if "_row" not in docs.columns else with_rows(docs.select("doc_id", "text"), "_row")
-        held = durable(hits(rows.select(F.col("_row").alias("id"), "text"), benchmark, **options))
-        ids = rows.select(F.col("_row").alias("id"), "doc_id").join(held.select("id").distinct(), "id", "left_semi")
+        row = fresh(docs, "_row")
+        rows = with_rows(docs, row)
+        held = durable(hits(rows.select(F.col(row).alias("id"), "text"), benchmark, **options))
+        ids = rows.select(F.col(row).alias("id"), "doc_id").join(held.select("id").distinct(), "id", "left_semi")
         one = held.join(ids, "id").select("doc_id", F.explode("items").alias("item_id"), "matched", "n", "doc_start")
         best = F.max(F.struct("matched", (-F.col("doc_start")).alias("s")))
         return keep(

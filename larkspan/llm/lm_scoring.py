@@ -23,15 +23,17 @@ are 0 and every token has probability 1; extra columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.arrays import Counter, Index, find, mix, pieces, summed, words_of
-from larkspan.llm.common import collect_garbage, durable, map_arrow, release, scratch, with_rows
+from larkspan.llm.common import collect_garbage, durable, map_arrow, only_scan, release, scratch
 
 #: The end of a text, a symbol beside the words.
 END = np.uint64(0x656E64656E64656E)
@@ -391,7 +393,7 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
     def asked(batches):
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for a, b, part_ in pieces(batch.column(1), 2 << 20):
+            for a, b, part_ in runs(rows, batch.column(1)):
                 tokens, bounds = tokens_of(part_)
                 of = np.repeat(np.arange(b - a, dtype=numbers(b - a)), np.diff(bounds))
                 keys, docs = [], []
@@ -455,8 +457,16 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
     return map_arrow(answers.repartition(parts, "base").sortWithinPartitions("base"), added, "_row bigint, far double")
 
 
+def runs(rows: np.ndarray, texts: pa.Array):
+    """Pieces of a column of texts, cut also where the rows' numbers don't follow each other."""
+    cuts = np.flatnonzero(np.diff(rows) != 1) + 1
+    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+        for a, b, part in pieces(texts.slice(x, y - x), 2 << 20):
+            yield x + a, x + b, part
+
+
 def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of rows with _row, consecutive in each partition, doc_id, held_out, text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of rows with _row (as `with_numbers` gives it), doc_id, held_out, text."""
     counts, far = tables
     spark = docs.sparkSession
     tree.ready()
@@ -538,10 +548,30 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
     )
 
 
+def with_numbers(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _row, a number that a row keeps in each reading, however its files are split then; rows of a file are numbered on from a hash of its path.
+
+    What isn't a scan of files that knows places in them is written down first. Hashes whose files' numbers would overlap are given up for others.
+    """
+    rows = docs.select("doc_id", "text")
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        placed = rows.select("*", *at) if only_scan(rows) else durable(rows).select("*", *at)
+    except AnalysisException:
+        placed = durable(rows).select("*", *at)
+    # a row for each file
+    files = durable(placed.groupBy("_file").agg(F.max("_at").alias("_last")))
+    for seed in itertools.count():
+        first = F.xxhash64(F.lit(seed), "_file").bitwiseAND(F.lit((1 << 62) - 1))
+        following = F.lead("h").over(Window.orderBy("h"))
+        if files.select(first.alias("h"), "_last").withColumn("next", following).where(F.col("next") <= F.col("h") + F.col("_last")).isEmpty():
+            release(files)
+            return placed.select("doc_id", "text", (first + F.col("_at")).alias("_row"))
+
+
 def score_documents(docs: DataFrame, **options) -> DataFrame:
     """Scores of all documents, learned from those that aren't held out."""
     with scratch() as keep:
-        # numbers are the same in each reading of a scan; what isn't one is written down
-        rows = with_rows(docs.select("doc_id", "text"), "_where").select(F.monotonically_increasing_id().alias("_row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+        rows = with_numbers(docs).select("_row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
         tree, tables = train(rows.where(~F.col("held_out")).select("text"), **options)
         return keep(durable(score(rows, tree, tables)))

@@ -84,7 +84,7 @@ def _joined(docs: DataFrame, rows: DataFrame, row: str, shards: int, tolerance:
         narrow = rows.select("doc_id", "text", F.col(row).alias("_row"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
         where = assign_shards(durable(keyed(narrow, "_row", *names)), shards, tolerance, names)
         where = keep(durable(where.select(F.col("_row").alias(row), "shard", "slot")))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
     return rows.drop("shard", "slot").join(where, row).select(*columns, "shard", "slot")
 
 
