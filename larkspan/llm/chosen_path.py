@@ -9,8 +9,8 @@ to nothing, while unlike documents part at every level. Trees are independent; t
 Level by level: what a document's path is follows from its signature alone once it is known which nodes are large, so no documents are
 moved. One pass over signatures counts the nodes of a level, added up within tasks; the large ones go into a Bloom filter of fixed size,
 which the next pass has by broadcast (a false positive lets a small node branch, for all of its documents alike). Leaves are posted to the
-lists of the n-gram join, which compares every two classes of equal sets of a node of at most `SMALL`, and of what is still larger at the
-greatest depth, each class with the first ones, then all that these don't link, across components and without a cap. Candidates are confirmed on whole sets.
+lists of the n-gram join, which compares every two classes of equal sets of a node of at most `SMALL`, and of what is still larger, at the
+greatest depth or because nearly all of a node goes to one child (copies, which no token parts), each class with the first ones, then all that these don't link, across components and without a cap. Candidates are confirmed on whole sets.
 
 Numpy on Arrow batches. Defined cases: documents without words or text have empty sets and link to nothing; those of fewer words than n have
 one element; null ids take part (their component is the smallest id in it that isn't null, else null) and aren't kept as the first of anything; repeated rows agree;
@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import jaccard_join
-from larkspan.llm.arrays import Counter, mix
+from larkspan.llm.arrays import mix
 from larkspan.llm.common import durable, map_arrow, release, scratch
 
 #: Words of a shingle, least similarity in percent, and the recall aimed at for links at just that.
 WORDS, PERCENT, RECALL = 2, 80, 0.999
 #: Levels at most, places to choose from at each, choices of a node on average, and the classes of a node that is compared as it is.
 DEPTH, POOL, BRANCH, SMALL = 6, 16, 1.5, jaccard_join.HUBS + 1
-#: Bits of each of the two filters.
+#: A node whose documents go to one child to this share holds documents that are alike.
+ALIKE = 0.9
+#: Bits of each of the filters.
 FILTER = 1 << 26
 _seed = mix(np.arange(1, 2 * DEPTH * POOL + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 A, B = _seed[: DEPTH * POOL] | np.uint64(1), _seed[DEPTH * POOL :]
@@ -63,15 +65,15 @@ def signed(sets: list[np.ndarray], _) -> tuple[list[np.ndarray], list[np.ndarray
     return list(out), [np.zeros(DEPTH * POOL, np.int32)] * len(sets)
 
 
-def children(node: np.ndarray, of: np.ndarray, signatures: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the next level that follow from nodes, and the row of each; a node chooses alike for all rows."""
+def children(node: np.ndarray, of: np.ndarray, signatures: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the next level that follow from nodes, the row of each, and the nodes they follow from; a node chooses alike for all rows."""
     first = (mix(node ^ _K[0]) % np.uint64(POOL)).astype(np.int64)
     step = (mix(node ^ _K[1]) % np.uint64(POOL - 1)).astype(np.int64) + 1
     two = np.flatnonzero(mix(node ^ _K[2]) < np.uint64(int((BRANCH - 1) * 2.0**64)))
     place = np.concatenate([first, (first + step)[two] % POOL])
     parent, of = np.concatenate([node, node[two]]), np.concatenate([of, of[two]])
     token = signatures[of, level * POOL + place]
-    return mix(mix(parent + np.uint64((level + 1) * int(_K[1]) & (1 << 64) - 1)) ^ (token << np.uint64(8)) ^ place.astype(np.uint64)), of
+    return mix(mix(parent + np.uint64((level + 1) * int(_K[1]) & (1 << 64) - 1)) ^ (token << np.uint64(8)) ^ place.astype(np.uint64)), of, parent
 
 
 def bit(words: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -79,17 +81,21 @@ def bit(words: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def descend(signatures: np.ndarray, trees: int, large: np.ndarray, levels: int):
-    """Level, nodes and their rows, level by level, as long as nodes are large."""
+def descend(signatures: np.ndarray, trees: int, large: np.ndarray, alike: np.ndarray, levels: int):
+    """Level, nodes, their rows and parents, level by level, as long as nodes branch."""
     node = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64) * _K[0]), len(signatures))
     of = np.tile(np.arange(len(signatures)), trees)
     for level in range(levels):
-        node, of = children(node, of, signatures, level)
-        yield level + 1, node, of
-        down = bit(large, node)
+        node, of, parent = children(node, of, signatures, level)
+        yield level + 1, node, of, parent
+        down = branches(large, alike, node)
         node, of = node[down], of[down]
 
 
+def branches(large: np.ndarray, alike: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return bit(large, node) & ~bit(alike, node)
+
+
 def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, DEPTH * POOL)
 
@@ -99,23 +105,25 @@ def _slices(batch: pa.RecordBatch, most: int = 2000):
         yield batch.slice(a, most)
 
 
-def counted(classes: DataFrame, trees: int, large: np.ndarray, level: int) -> DataFrame:
-    """h, n: the nodes of a level and their rows, classes of equal sets. Written down."""
-    hold = classes.sparkSession.sparkContext.broadcast(large)
-    pack = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+def counted(classes: DataFrame, trees: int, large: np.ndarray, alike: np.ndarray, level: int) -> DataFrame:
+    """h, parent, n: the nodes of a level that several classes of equal sets share. Written down."""
+    hold = classes.sparkSession.sparkContext.broadcast((large, alike))
 
     def run(batches):
-        counter = Counter(500_000)
         for batch in batches:
             for part in _slices(batch):
-                for at, node, _ in descend(_signatures(part), trees, hold.value, level):
+                for at, node, _, parent in descend(_signatures(part), trees, *hold.value, level):
                     if at == level:
-                        for kn in counter.add(node):
-                            yield pack(*kn)
-        for kn in counter.rest():
-            yield pack(*kn)
+                        h, first, n = np.unique(node, return_index=True, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(parent[first].view(np.int64)), pa.array(n)], ["h", "parent", "n"])
+
+    return durable(map_arrow(classes.select("keys"), run, "h bigint, parent bigint, n bigint").groupBy("h").agg(F.first("parent").alias("parent"), F.sum("n").alias("n")).where("n > 1"))
+
 
-    return durable(map_arrow(classes.select("keys"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+def unparted(nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """The nodes (h) one level up of which one child holds nearly all. Their documents are alike, so more tokens would repeat the group and part nobody."""
+    held = above.select(F.col("h").alias("parent"), F.col("n").alias("of"))
+    return nodes.join(held, "parent").where((F.col("of") > SMALL) & (F.col("n") >= ALIKE * F.col("of"))).select(F.col("parent").alias("h")).distinct()
 
 
 def filter_of(nodes: DataFrame) -> np.ndarray:
@@ -129,28 +137,31 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
 def leaves(classes: DataFrame, trees: int) -> DataFrame:
     """h, sid, n: of each class of equal sets the nodes at which it is compared, those that others share."""
     spark = classes.sparkSession
-    large = shared = np.zeros(FILTER // 64, np.uint64)
-    depth = 0
+    large = shared = alike = np.zeros(FILTER // 64, np.uint64)
+    depth, above = 0, None
     for level in range(1, DEPTH + 1):
-        nodes = counted(classes, trees, large, level)
+        nodes = counted(classes, trees, large, alike, level)
         shared = shared | filter_of(nodes)
         more = filter_of(nodes.where(F.col("n") > SMALL))
-        release(nodes)
-        depth = level
+        if above is not None:
+            alike = alike | filter_of(unparted(nodes, above))
+            release(above)
+        depth, above = level, nodes
         if not more.any():
             break
         large = large | more
-    hold = spark.sparkContext.broadcast((large, shared))
+    release(above)
+    hold = spark.sparkContext.broadcast((large, alike, shared))
 
     def run(batches):
-        large, shared = hold.value
+        large, alike, shared = hold.value
         for batch in batches:
             for part in _slices(batch):
                 sid, n = part.column("sid").to_numpy(), part.column("n").to_numpy()
-                for at, node, of in descend(_signatures(part), trees, large, depth):
+                for at, node, of, _ in descend(_signatures(part), trees, large, alike, depth):
                     ends = bit(shared, node)
                     if at < DEPTH:
-                        ends &= ~bit(large, node)
+                        ends &= ~branches(large, alike, node)
                     yield pa.RecordBatch.from_arrays([pa.array(node[ends].view(np.int64)), pa.array(sid[of[ends]]), pa.array(n[of[ends]])], ["h", "sid", "n"])
 
     return map_arrow(classes.select("keys", "sid", "n"), run, "h bigint, sid bigint, n bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat, chosen_path, decontam, fingerprints, hard_negatives, jaccard_join, langid, lm_scoring, mixing, oracles, pii, quantize, secrets, sharding, vector_oracles
+from larkspan.llm import chat, chosen_path, decontam, fingerprints, hard_negatives, jaccard_join, join_oracles, langid, lm_scoring, mixing, oracles, pii, quantize, secrets, sharding, vector_oracles
 from larkspan.llm.common import table
 
 
@@ -97,4 +97,4 @@ QUERIES = {
     "op12_vector_compression": op12_vector_compression,
     "op13_minhash_dedup": op13_minhash_dedup,
 }
-ORACLE_SQL = oracles.ORACLE_SQL | vector_oracles.ORACLE_SQL
+ORACLE_SQL = oracles.ORACLE_SQL | join_oracles.ORACLE_SQL | vector_oracles.ORACLE_SQL

@@ -10,10 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspan.functions.schema import LABELS
 from larkspan.llm import decontam, lm_scoring, mixing, pii, sharding
-from larkspan.operators import baseline, tfidf
-from larkspan.plans import registry
 
 TEXTS = "doc_id long, text string"
 
@@ -74,26 +71,6 @@ def test_rare_phrases_are_learned(spark, monkeypatch, order, share):
     assert got == pytest.approx(brute_scores(texts, order), abs=1e-6)
 
 
-def test_baseline_query_trains_the_whole_model(spark, sf_dir, monkeypatch):
-    """Classifiers are asked for in full; here each is then fitted with two trees, since this is about what the query asks for."""
-    asked = []
-
-    def small(kind, trees):
-        def make(**options):
-            asked.append((options[trees], options["maxDepth"]))
-            return kind(**(options | {trees: 2, "maxDepth": 2}))
-
-        return make
-
-    sizes, fit = [], tfidf.fit
-    monkeypatch.setattr(baseline, "GBTClassifier", small(baseline.GBTClassifier, "maxIter"))
-    monkeypatch.setattr(baseline, "RandomForestClassifier", small(baseline.RandomForestClassifier, "numTrees"))
-    monkeypatch.setattr(tfidf, "fit", lambda docs, key, size: sizes.append(size) or fit(docs, key, size))
-    rows = registry.QUERIES["baseline_predict"](spark, sf_dir).collect()
-    assert len(asked) == len(LABELS) + 1 and set(asked) == {(100, 6)} and sizes == [5000]
-    assert rows and all((r["risk"] == "LOW") == (r["rationale"] == "") for r in rows)
-
-
 def test_terms_far_from_a_value_and_of_rare_values(spark):
     far = "some plain words here " * 60
     texts = [f"zorblatt began it. {far} write to jo@corp.example {far} zorblatt ended it" for _ in range(3)]
