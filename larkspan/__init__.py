@@ -1,7 +1,8 @@
 """An analytics engine on Spark for privacy-labelled text datasets."""
 
 from larkspan.functions.schema import LABELS, RISKS
-from larkspan.operators.hook import pattern_predictor, scan
+from larkspan.operators.detector import Detection, Detector
+from larkspan.operators.hook import pattern_predictor, scan, scan_with
 from larkspan.operators.metrics import compare, evaluation_report, label_f1
 
-__all__ = ["LABELS", "RISKS", "compare", "evaluation_report", "label_f1", "pattern_predictor", "scan"]
+__all__ = ["LABELS", "RISKS", "Detection", "Detector", "compare", "evaluation_report", "label_f1", "pattern_predictor", "scan", "scan_with"]

@@ -37,10 +37,15 @@ def completion(labels: Column, risk: Column, rationale: Column) -> Column:
     return F.to_json(F.struct(F.array_sort(labels).alias("labels"), risk.alias("risk"), rationale.alias("rationale")))
 
 
+def formatted(df: DataFrame, tokenize: Callable[[Column], Column] = words) -> DataFrame:
+    """Adds training_text and n_tokens."""
+    made = df.withColumn("training_text", F.concat(prompt(F.col("text")), completion(F.col("labels"), F.col("risk"), F.col("rationale")), F.lit(COMPLETION_END)))
+    return made.withColumn("n_tokens", F.size(tokenize(F.col("training_text"))).cast("bigint"))
+
+
 def training_text(df: DataFrame, tokenize: Callable[[Column], Column] = words, limit: int = MAX_TOKENS) -> DataFrame:
     """Adds training_text and n_tokens, and leaves out what is longer than the limit."""
-    made = df.withColumn("training_text", F.concat(prompt(F.col("text")), completion(F.col("labels"), F.col("risk"), F.col("rationale")), F.lit(COMPLETION_END)))
-    return made.withColumn("n_tokens", F.size(tokenize(F.col("training_text"))).cast("bigint")).where(F.col("n_tokens") <= limit)
+    return formatted(df, tokenize).where(F.col("n_tokens") <= limit)
 
 
 def assembled(text: Column, tokenize: Callable[[Column], Column] = words, join: Callable[[Column], Column] = lambda t: F.array_join(t, " "), limit: int = MAX_TOKENS) -> Column:

@@ -75,5 +75,10 @@ def is_hub_id(path: Column) -> Column:
     return (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) == 1) & ~path.startswith("/")
 
 
+def hub_id(path: str) -> bool:
+    """is_hub_id of one name."""
+    return path.count("/") == 1 and not path.startswith("/")
+
+
 def taxonomy_bullets() -> str:
     return "\n".join(f"- {label}" for label in LABELS)

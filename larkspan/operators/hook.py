@@ -33,10 +33,23 @@ def pattern_predictor(text: Column) -> Column:
     return F.struct(F.when(hit, F.array(F.lit("CREDENTIAL"))).otherwise(none).alias("labels"), F.when(hit, "HIGH").otherwise("LOW").alias("risk"), F.when(hit, "PII type detected: CREDENTIAL").otherwise("").alias("rationale"))
 
 
+def verdicts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, text, exit_code and message of rows with text and _p, a struct of labels, risk and rationale or null."""
+    code = F.when(F.col("text").isNull(), 1).when(F.coalesce(F.size("_p.labels"), F.lit(0)) > 0, 2).otherwise(0)
+    message = F.when(code == 1, "invalid JSON").when(code == 2, F.to_json(F.struct(F.array_sort("_p.labels").alias("labels"), F.col("_p.risk").alias("risk"), F.col("_p.rationale").alias("rationale")))).otherwise("")
+    return rows.select(*columns, "text", code.cast("int").alias("exit_code"), message.alias("message"))
+
+
 def scan(events: DataFrame, predict: Callable[[Column], Column] = pattern_predictor) -> DataFrame:
     """Adds text, exit_code (0 clean, 1 error, 2 found) and message to rows of hook_type and payload."""
     rows = events.withColumn("text", hook_text(F.col("hook_type"), F.col("payload")))
-    rows = rows.withColumn("_p", F.when(F.coalesce("text", F.lit("")) != "", predict(F.col("text"))))
-    code = F.when(F.col("text").isNull(), 1).when(F.coalesce(F.size("_p.labels"), F.lit(0)) > 0, 2).otherwise(0)
-    message = F.when(code == 1, "invalid JSON").when(code == 2, F.to_json(F.struct(F.array_sort("_p.labels").alias("labels"), F.col("_p.risk").alias("risk"), F.col("_p.rationale").alias("rationale")))).otherwise("")
-    return rows.select(*events.columns, "text", code.cast("int").alias("exit_code"), message.alias("message"))
+    return verdicts(rows.withColumn("_p", F.when(F.coalesce("text", F.lit("")) != "", predict(F.col("text")))), events.columns)
+
+
+def scan_with(events: DataFrame, detector) -> DataFrame:
+    """As scan, with a detector (`operators/detector.py`): its predictions need more than an expression of one column."""
+    rows = events.withColumn("text", hook_text(F.col("hook_type"), F.col("payload")))
+    has = F.coalesce("text", F.lit("")) != ""
+    found = detector.detect(rows.where(has)).withColumn("_p", F.struct("labels", "risk", "rationale"))
+    none = rows.where(~has).withColumn("_p", F.lit(None).cast(found.schema["_p"].dataType))
+    return verdicts(found.select(*rows.columns, "_p").unionByName(none), events.columns)

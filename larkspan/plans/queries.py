@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import jsonx, prompts, scalars
-from larkspan.functions.features import PATTERNS, features, flags
+from larkspan.functions.features import ENTITIES, FEATURE_ORDER, PATTERNS, features, flags
 from larkspan.functions.invariants import report_violations, violations
+from larkspan.functions.prompts import AFTER, BEFORE, COMPLETION_END, MAX_TOKENS
+from larkspan.functions.quotas import apportion, first_of
+from larkspan.functions.ranking import seeded
 from larkspan.functions.schema import LABELS
+from larkspan.functions.subwords import subwords
 from larkspan.operators import baseline, datasets, hook, metrics, templates, tfidf, validation
+from larkspan.operators.training import prepare_dataset
 from larkspan.plans import derived
 from larkspan.plans.derived import SQL_EXAMPLES, SQL_PAIRS, examples, predictions, preds_b, table
 from larkspan.sources.cluster import new_folder
@@ -503,6 +508,33 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.weights(tf, vocab, "doc_id").withColumns(six("weight"))
 
 
+_DENSE_SQL = {
+    **_FLAGS_SQL,
+    "token_count": "token_count",
+    "sentence_count": "sentence_count",
+    "avg_sentence_length": "token_count / sentence_count",
+    **{f"ent_{e}": "0" for e in ENTITIES},
+}
+
+
+@query(
+    f"""{_VOCAB_SQL}, w AS (SELECT doc_id, term, ord, tf * idf AS w FROM tf JOIN vocab USING (term)),
+counts AS (SELECT *, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS token_count,
+  CAST(greatest(1, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: regexp_matches(x, '\\S')))) AS BIGINT) AS sentence_count FROM documents),
+own AS ({" UNION ALL ".join(f"SELECT doc_id, (SELECT count(*) FROM vocab) + {i} AS feature, CAST({_DENSE_SQL[n]} AS DOUBLE) AS value FROM counts" for i, n in enumerate(FEATURE_ORDER))})
+SELECT doc_id, CAST(feature AS BIGINT) AS feature, round(value, 6) AS value FROM (
+  SELECT doc_id, ord AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS value FROM w UNION ALL SELECT * FROM own) WHERE value > 0"""
+)
+def baseline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the baseline learns from: TF-IDF of the vocabulary, then the features of a text, where they are above 0."""
+    docs = table(spark, sf_dir, "documents")
+    vocab = tfidf.fit(docs, "doc_id")[1].orderBy("ord").collect()  # as many rows as the vocabulary has room for
+    rows = baseline.Baseline([(r["term"], r["idf"]) for r in vocab]).featurize(docs, "doc_id").select("doc_id", F.unwrap_udt("features").alias("v"))
+    places = F.when(F.col("v.type") == 0, F.col("v.indices")).otherwise(F.sequence(F.lit(0), F.greatest(F.size("v.values") - 1, F.lit(0))))
+    pairs = rows.select("doc_id", F.explode(F.arrays_zip(places.alias("f"), F.col("v.values").alias("x"))).alias("p"))
+    return pairs.where("p.x > 0").select("doc_id", F.col("p.f").cast("bigint").alias("feature"), F.round("p.x", 6).alias("value"))
+
+
 @query()
 def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = with_splits(spark, sf_dir)
@@ -510,6 +542,66 @@ def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(data.where("split = 'test'"), "doc_id").select("doc_id", joined("labels").alias("labels"), "risk", "rationale")
 
 
+# --- quotas and training tables --------------------------------------------------------------------------------
+
+_QUOTA_SQL = """g AS (SELECT coalesce(source, '') AS "group", CAST(1 + length(coalesce(source, '')) % 4 AS HUGEINT) AS weight, CAST(count(*) AS HUGEINT) AS cap FROM documents GROUP BY ALL),
+goal AS (SELECT CAST(sum(cap) AS HUGEINT) * 2 // 5 AS goal FROM g),
+a AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM g, goal WINDOW o AS (ORDER BY cap / weight, "group")),
+b AS (SELECT *, (goal - before_) * weight >= cap * weights AS full_ FROM a),
+c AS (SELECT *, CAST(goal - coalesce(sum(cap) FILTER (full_) OVER (), 0) AS HUGEINT) AS rest, CAST(greatest(1, coalesce(sum(weight) FILTER (NOT full_) OVER (), 0)) AS HUGEINT) AS open_ FROM b),
+d AS (SELECT *, CASE WHEN full_ THEN cap ELSE rest * weight // open_ END AS low, CASE WHEN full_ THEN -1 ELSE rest * weight % open_ END AS part FROM c),
+quotas AS (SELECT "group", weight, cap, CAST(low + CASE WHEN NOT full_ AND row_number() OVER (ORDER BY part DESC, "group") <= goal - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM d)"""
+
+
+def _quotas(docs: DataFrame) -> DataFrame:
+    groups = docs.groupBy(F.coalesce("source", F.lit("")).alias("group")).agg((1 + F.length("group") % 4).cast("bigint").alias("weight"), F.count("*").alias("cap"))
+    return apportion(groups, docs.count() * 2 // 5)
+
+
+@query(f'WITH {_QUOTA_SQL} SELECT "group", CAST(weight AS BIGINT) AS weight, CAST(cap AS BIGINT) AS cap, quota FROM quotas')
+def source_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fifths of all documents, shared out among the sources by weight, none beyond what it has."""
+    return _quotas(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""WITH {_QUOTA_SQL}, r AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('quota:' || doc_id), doc_id) AS position FROM documents)
+SELECT doc_id, source, position FROM r JOIN quotas ON source = "group" WHERE position <= quota"""
+)
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the quotas take, in hash order."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), seeded("quota", "doc_id").alias("_h"))
+    return first_of(rows, "source", "_h", ["doc_id"], _quotas(docs)).select("doc_id", "source", F.col("position").cast("bigint").alias("position"))
+
+
+_TRAINING_SQL = f"""t AS (SELECT id, '{BEFORE}' || text || '{AFTER}' || '{{"labels":[' || array_to_string(list_transform(labels, lambda x: '"' || x || '"'), ',') || '],"risk":"' || risk || '","rationale":"' || rationale || '"}}{COMPLETION_END}' AS training_text
+  FROM dataset WHERE split = 'train'), n AS (SELECT *, CAST(len(list_filter(string_split_regex(training_text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM t)"""
+
+
+@query(f"{_SPLIT_SQL}, {_TRAINING_SQL} SELECT id, md5(training_text) AS text_md5, n_tokens, (SELECT count(*) FROM n WHERE n_tokens <= {MAX_TOKENS}) AS kept, (SELECT count(*) FROM n WHERE n_tokens > {MAX_TOKENS}) AS skipped, row_number() OVER (ORDER BY md5('3:' || id)) AS place FROM n WHERE n_tokens <= {MAX_TOKENS}")
+def prepare_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training table of a written dataset: what it holds, what was left out, and the place of each row in the order of its files."""
+    folder = new_folder(spark)
+    write_dataset(dataset(spark, sf_dir), folder)
+    rows, counts = prepare_dataset(spark, folder, new_folder(spark), seed=3)
+    # part files are numbered in the order of their ranges
+    parts = rows.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_tokens", F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("bigint").alias("part"), F.col("_metadata.row_index").alias("at"))
+    ahead = parts.groupBy("part").count().select(F.col("part").alias("_p"), F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    placed = parts.join(F.broadcast(ahead), F.col("part") == F.col("_p"))  # a row for each file
+    return placed.select("id", "text_md5", "n_tokens", *[F.lit(counts[k]).cast("bigint").alias(k) for k in ("kept", "skipped")], (F.col("ahead") + F.col("at") + 1).cast("bigint").alias("place"))
+
+
+@query()
+def subword_prompts(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
+    """Prompts cut at the limit in subwords of a public vocabulary, whether the text comes back from its subwords, and how many it has."""
+    encode, decode = subwords(spark, tokenizer)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", encode("text"))
+    cut = prompts.assembled(F.col("text"), encode, decode)
+    return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_subwords"), (decode("ids") == F.col("text")).alias("same"), F.size(cut).cast("bigint").alias("n_prompt"))
+
+
 @query(f"{_SPLIT_SQL} SELECT id, md5(text) AS text_md5, array_to_string(labels, ',') AS labels, risk, rationale, is_hard_negative, split, domain, source FROM dataset")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
