@@ -123,6 +123,14 @@ def render_comparison(comparison: DataFrame, test_size: int) -> str:
     return "\n".join([head, *[line(m, rows[m]) for m in METRICS], "", *[line(f"F1 {x}", rows[f"f1:{x}"]) for x in sorted(LABELS)]]) + "\n"
 
 
+def render_report(report: DataFrame) -> str:
+    """One model's metrics and F1 by label as text, with four decimals; the table has one row."""
+    r = report.first()
+    value = lambda v: "-" if v is None else f"{v:.4f}"
+    lines = [f"{r['model_name']}, test examples: {r['test_set_size']}", *[f"{m:<26}{value(r[m]):>10}" for m in METRICS]]
+    return "\n".join([*lines, "", *[f"{f'F1 {x}':<26}{value((r['f1_by_label'] or {}).get(x)):>10}" for x in sorted(LABELS)]]) + "\n"
+
+
 def count_passed(checked: DataFrame) -> DataFrame:
     """passed and targets: how many of the rows of check_targets hold, a metric without a value doesn't."""
     return checked.agg(F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"), F.count("*").alias("targets"))

@@ -74,7 +74,11 @@ def generate(spark: SparkSession, templates: DataFrame, count: int, seed: object
     """row and the columns of a raw example."""
     if count <= 0:
         raise ValueError("count must be positive")
-    rows = spark.range(count).select(F.col("id").alias("row"))
+    return filled(spark.range(count).select(F.col("id").alias("row")), templates, seed)
+
+
+def filled(rows: DataFrame, templates: DataFrame, seed: object) -> DataFrame:
+    """row and the columns of a raw example, for given rows (row, whole numbers from 0)."""
     domains = templates.agg(F.max("n_domains")).first()[0]
     rows = rows.withColumns({"_d": F.col("row") % domains, "_k": F.expr(f"row div {domains}")})
     # templates are as many rows as the files have patterns

@@ -440,6 +440,29 @@ def template_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.generate(spark, _templates(spark), 500, 11).select("row", "text", joined("labels").alias("labels"), "risk", "rationale", "domain")
 
 
+def _filled_sql(seed: str) -> str:
+    rows = []
+    for d, (domain, ps) in enumerate(_FILES):
+        for k, (t, ls, r, w) in enumerate(ps):
+            why = "''" if r == "LOW" else _fill_sql(w, f"{seed}-r")
+            rows.append(f"SELECT i AS doc_id, {_fill_sql(t, seed)} AS text, '{','.join(sorted(ls))}' AS labels, '{r}' AS risk, {why} AS rationale, '{domain}' AS domain FROM (SELECT doc_id AS i FROM documents WHERE doc_id >= 0) WHERE i % {len(_FILES)} = {d} AND (i // {len(_FILES)}) % {len(ps)} = {k}")
+    return " UNION ALL ".join(rows)
+
+
+@query(_filled_sql("doc"))
+def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An invented text for each document: pattern and values of slots follow from its id."""
+    rows = table(spark, sf_dir, "documents").where("doc_id >= 0").select(F.col("doc_id").alias("row"))
+    out = templates.filled(rows, _templates(spark), "doc")
+    return out.select(F.col("row").alias("doc_id"), "text", joined("labels").alias("labels"), "risk", "rationale", "domain")
+
+
+@query(f"SELECT label, count(*) AS documents FROM (SELECT unnest(string_split(labels, ',')) AS label FROM ({_filled_sql('doc')})) GROUP BY label")
+def template_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of these texts have each label."""
+    return template_documents(spark, sf_dir).select(F.explode(F.split("labels", ",")).alias("label")).groupBy("label").agg(F.count("*").alias("documents"))
+
+
 _SUPPORT = {x: sum(x in ls for _, ps in _FILES for _, ls, _, _ in ps) for x in LABELS}
 
 
