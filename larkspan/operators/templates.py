@@ -50,10 +50,9 @@ def _draw(n: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 7), 16, 10).cast("bigint") % n
 
 
-def fill(template: Column, seed: object, row: Column) -> Column:
-    """The template with every {SLOT} replaced; an unknown slot fails."""
+def slot_values(template: Column, seed: object, row: Column) -> Column:
+    """What the template's slots are filled with, in their order; an unknown slot fails."""
     slots = F.regexp_extract_all(template, F.lit(SLOT), F.lit(1))
-    between = F.split(template, SLOT, -1)
 
     def value(slot: Column, place: Column) -> Column:
         draw = lambda n: _draw(n, F.lit(str(seed)), row.cast("string"), place.cast("string"), slot)
@@ -66,8 +65,23 @@ def fill(template: Column, seed: object, row: Column) -> Column:
             out = out.when(slot == name, ordinal(n) if name == "FLOOR" else n.cast("string"))
         return out.otherwise(F.raise_error(F.concat(F.lit("unknown slot "), slot)))
 
-    filled = F.transform(slots, value)
-    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(filled, i), F.lit("")))), "")
+    return F.transform(slots, value)
+
+
+def fill(template: Column, seed: object, row: Column) -> Column:
+    """The template with every {SLOT} replaced."""
+    values = slot_values(template, seed, row)
+    return F.array_join(F.transform(F.split(template, SLOT, -1), lambda b, i: F.concat(b, F.coalesce(F.get(values, i), F.lit("")))), "")
+
+
+def traced(template: Column, seed: object, row: Column) -> Column:
+    """The pieces of the filled template with the slots they come from (null between slots): array<struct<text, slot>>. Joined, they are what `fill` gives."""
+    slots = placeholders(template)
+    values = slot_values(template, seed, row)
+    piece = lambda t, s: F.struct(t.alias("text"), s.alias("slot"))
+    none = F.lit(None).cast("string")
+    pairs = F.transform(F.split(template, SLOT, -1), lambda b, i: F.array(piece(b, none), piece(F.coalesce(F.get(values, i), F.lit("")), F.get(slots, i))))
+    return F.filter(F.flatten(pairs), lambda p: p["text"] != "")
 
 
 def generate(spark: SparkSession, templates: DataFrame, count: int, seed: object) -> DataFrame:

@@ -15,14 +15,14 @@ from larkspan.functions.quotas import apportion, first_of
 from larkspan.functions.ranking import seeded
 from larkspan.functions.schema import LABELS
 from larkspan.functions.subwords import subwords
-from larkspan.operators import baseline, datasets, hook, metrics, templates, tfidf, validation
+from larkspan.operators import baseline, datasets, hook, metrics, recogniser, templates, tfidf, validation
 from larkspan.operators.training import prepare_dataset
 from larkspan.plans import derived
 from larkspan.plans.derived import SQL_EXAMPLES, SQL_PAIRS, examples, predictions, preds_b, table
 from larkspan.sources.cluster import new_folder
 from larkspan.sources.dataset_io import read_dataset, write_dataset
 from larkspan.sources.reports import read_report, write_report
-from larkspan.sources.templates import label_support, missing_labels, template_table
+from larkspan.sources.templates import label_support, missing_labels, shipped_templates, template_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -565,6 +565,16 @@ def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(data.where("split = 'test'"), "doc_id").select("doc_id", joined("labels").alias("labels"), "risk", "rationale")
 
 
+@query()
+def recognised_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of documents with the counts of a recogniser that has learned from the shipped templates."""
+    rows = spark.range(2000).select(F.col("id").alias("row"))
+    find = recogniser.train(recogniser.examples(rows, shipped_templates(spark), 7)).found(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", find("text"))
+    made = features(F.col("text"), recogniser.entity_counts(F.col("spans")))
+    return docs.select("doc_id", *[made[f"ent_{e}"].alias(f"ent_{e}") for e in ENTITIES])
+
+
 # --- quotas and training tables --------------------------------------------------------------------------------
 
 _QUOTA_SQL = """g AS (SELECT coalesce(source, '') AS "group", CAST(1 + length(coalesce(source, '')) % 4 AS HUGEINT) AS weight, CAST(count(*) AS HUGEINT) AS cap FROM documents GROUP BY ALL),
