@@ -12,7 +12,7 @@ from larkspan.functions.features import ENTITIES, FEATURE_ORDER, PATTERNS, featu
 from larkspan.functions.invariants import report_violations, violations
 from larkspan.functions.prompts import AFTER, BEFORE, COMPLETION_END, MAX_TOKENS
 from larkspan.functions.quotas import apportion, first_of
-from larkspan.functions.ranking import seeded
+from larkspan.functions.ranking import file_places, seeded
 from larkspan.functions.schema import LABELS
 from larkspan.functions.subwords import subwords
 from larkspan.operators import baseline, datasets, hook, metrics, recogniser, templates, tfidf, validation
@@ -619,11 +619,8 @@ def prepare_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
     write_dataset(dataset(spark, sf_dir), folder)
     rows, counts = prepare_dataset(spark, folder, new_folder(spark), seed=3)
-    # part files are numbered in the order of their ranges
-    parts = rows.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_tokens", F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("bigint").alias("part"), F.col("_metadata.row_index").alias("at"))
-    ahead = parts.groupBy("part").count().select(F.col("part").alias("_p"), F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    placed = parts.join(F.broadcast(ahead), F.col("part") == F.col("_p"))  # a row for each file
-    return placed.select("id", "text_md5", "n_tokens", *[F.lit(counts[k]).cast("bigint").alias(k) for k in ("kept", "skipped")], (F.col("ahead") + F.col("at") + 1).cast("bigint").alias("place"))
+    placed = file_places(rows)
+    return placed.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_tokens", *[F.lit(counts[k]).cast("bigint").alias(k) for k in ("kept", "skipped")], (F.col("place") + 1).alias("place"))
 
 
 @query()
