@@ -1,8 +1,24 @@
 """An analytics engine on Spark for privacy-labelled text datasets."""
 
-from larkspan.functions.schema import LABELS, RISKS
-from larkspan.operators.detector import Detection, Detector
-from larkspan.operators.hook import pattern_predictor, scan, scan_with
-from larkspan.operators.metrics import compare, evaluation_report, label_f1
+from importlib import import_module
 
-__all__ = ["LABELS", "RISKS", "Detection", "Detector", "compare", "evaluation_report", "label_f1", "pattern_predictor", "scan", "scan_with"]
+#: Where the public names live. They are imported when they are asked for, so that executors which need one module don't load all.
+_HOME = {
+    "LABELS": "functions.schema",
+    "RISKS": "functions.schema",
+    "Detection": "operators.detector",
+    "Detector": "operators.detector",
+    "compare": "operators.metrics",
+    "evaluation_report": "operators.metrics",
+    "label_f1": "operators.metrics",
+    "pattern_predictor": "operators.hook",
+    "scan": "operators.hook",
+    "scan_with": "operators.hook",
+}
+__all__ = list(_HOME)
+
+
+def __getattr__(name: str):
+    if name not in _HOME:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_HOME[name]}"), name)
