@@ -122,10 +122,10 @@ def scanned(index: Index, block: dict, k: int) -> DataFrame:
     """query, id, row, score: of each task the first k rows of each query of a block among those in the query's annulus.
 
     block: arrays by query: v, label, own (its row), same (whether its label or others are wanted), lo and hi (scores), inner and outer (the annulus: what it
-    reaches beyond inner and up to outer), and start, the distance at which its window begins.
+    reaches beyond inner and up to outer), start, the distance at which its window begins, and far, its distances from the pivots, the same numbers in each round.
     """
     spark = index.table.sparkSession
-    own = distances(np.concatenate([block["v"].astype(np.float64), np.zeros((len(block["v"]), 1))], 1), index.pivots)
+    own = block["far"]
     slack = SLACK * np.sqrt(float(index.most) + 1)
     # under each pivot, the keys that any query of the block can want
     wanted = F.lit(False)
@@ -133,11 +133,12 @@ def scanned(index: Index, block: dict, k: int) -> DataFrame:
         low, high = float((own[:, p] - block["outer"]).min()) - slack, float((own[:, p] + block["outer"]).max()) + slack
         wanted = wanted | ((F.col("pivot") == p) & F.col("far").between(low, high))
     distinct, of = np.unique(block["v"], axis=0, return_inverse=True)
-    hold = spark.sparkContext.broadcast((block, own, distinct, of.ravel()))
+    hold = spark.sparkContext.broadcast((block, distinct, of.ravel()))
     dim = index.dim
 
     def run(batches):
-        block, own, distinct, of = hold.value
+        block, distinct, of = hold.value
+        own = block["far"]
         best = [np.empty(0, np.int64)] * 5
         floor = np.full(len(of), np.iinfo(np.int64).min)  # scores below which a query needs nothing any more
         for batch in batches:
@@ -240,7 +241,7 @@ def block_rounds(index: Index, block: dict, k: int) -> list[DataFrame]:
         at = int(FIRST / index.share)
         first[i] = np.partition(reach, at)[at] if at < len(reach) else (reach.max() if len(reach) else 0.0)
     last = 2 * np.sqrt(float(index.most)) + 2 * slack  # nothing is as far away
-    block = block | {"inner": np.full(len(own), -np.inf), "outer": np.minimum(np.maximum(first, block["start"]), last)}
+    block = block | {"far": own, "inner": np.full(len(own), -np.inf), "outer": np.minimum(np.maximum(first, block["start"]), last)}
     found: list[DataFrame] = []
     while len(block["query"]):
         found.append(durable(scanned(index, block, k)))
