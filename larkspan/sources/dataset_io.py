@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from larkspan.functions.invariants import require_valid
-from larkspan.functions.schema import EXAMPLE, SPLITS
+from larkspan.functions.schema import EXAMPLE, NUMBERED_ID, SPLITS
 from larkspan.sources.cluster import delete, files
 from larkspan.sources.journal import names, put
 
@@ -60,7 +60,7 @@ def read_dataset(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPL
     for df in found[1:]:
         out = out.unionByName(df)
     out = out.withColumns({"labels": F.coalesce("labels", F.array().cast("array<string>")), "rationale": F.coalesce("rationale", F.lit(""))})
-    return require_valid(out) if check else out
+    return require_valid(out, ids=NUMBERED_ID) if check else out
 
 
 def _staged(examples: DataFrame, path: str) -> bool:
