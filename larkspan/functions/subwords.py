@@ -1,7 +1,8 @@
 """Subword tokenizers from vocabulary files, as functions of a column that run in Arrow batches.
 
 A file is read by Spark, from any path that Spark reads, and broadcast (a vocabulary has a fixed size); a Python worker builds its tokenizer once. Strings of special
-tokens in a text are ordinary text. Null texts are empty.
+tokens in a text are ordinary text. Null texts are empty. What a tokenizer makes of a text is a hundred times as large as its subwords, so a batch goes through it
+in slices of bounded size and only the numbers are kept, as Arrow arrays.
 """
 
 from __future__ import annotations
@@ -9,13 +10,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.sources.cluster import send_code
 
 _built: dict = {}
+#: Bytes of texts that a tokenizer has at once, or of one text; four count for a subword.
+SLICE = 1 << 18
+IDS = pa.list_(pa.int32())
 
 
 def built(data: bytes):
@@ -30,19 +36,40 @@ def built(data: bytes):
     return _built[key]
 
 
+def slices(values: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """Values in order, in slices of at most SLICE bytes or of one value."""
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield values.slice(at, to - at)
+        at = to
+
+
+def _encoded(tokenizer, texts: pa.Array) -> pa.Array:
+    found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+
+
+def _decoded(tokenizer, ids: pa.Array) -> pa.Array:
+    return pa.array(tokenizer.decode_batch([i or [] for i in ids.to_pylist()], skip_special_tokens=False), pa.string())
+
+
 def subwords(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """encode (text to array<int>) and decode (back to text) of the tokenizer file at a path. FileNotFoundError-like failures are Spark's."""
     send_code(spark)
     hold = spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([e.ids for e in built(hold.value).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+            made = [_encoded(built(hold.value), part) for part in slices(texts, pc.fill_null(pc.binary_length(texts), 0))]
+            yield pa.concat_arrays(made) if made else pa.array([], IDS)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for ids in batches:
-            yield pd.Series(built(hold.value).decode_batch([list(i) if i is not None else [] for i in ids], skip_special_tokens=False), dtype=object)
+            made = [_decoded(built(hold.value), part) for part in slices(ids, pc.multiply(pc.fill_null(pc.list_value_length(ids), 0), 4))]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return encode, decode

@@ -101,3 +101,16 @@ def test_scan_with_a_detector(spark, saved):
     out = {(r["hook_type"], r["payload"]): r for r in scan_with(d, Detector.from_pretrained(spark, saved)).collect()}
     assert [out[h, p]["exit_code"] for h, p, _ in rows] == [c for *_, c in rows]
     assert json.loads(out[rows[0][:2]]["message"]) == {"labels": ["CREDENTIAL"], "risk": "HIGH", "rationale": "PII type detected: CREDENTIAL"}
+
+
+def test_a_tokenizer_has_little_at_once(spark, monkeypatch):
+    """However many rows a batch has, a tokenizer gets slices of bounded size."""
+    import pyarrow as pa
+
+    from larkspan.functions import subwords as module
+
+    monkeypatch.setattr(module, "SLICE", 100)
+    texts = ["short", None, "word " * 50, "", *["some more words"] * 40]
+    parts = list(module.slices(pa.array(texts), pa.array([len(t or "") for t in texts])))
+    assert [t for p in parts for t in p.to_pylist()] == texts and all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 100 for p in parts) and len(parts) < 12
+    assert list(module.slices(pa.array([], pa.string()), pa.array([], pa.int64()))) == []
