@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ KIND_OF = {
 TAGS = ("", *ENTITIES)
 #: Places that features are hashed into, epochs, and rows of a shard at most.
 PLACES, EPOCHS, SHARD = 1 << 17, 6, 20_000
+#: Tokens that are read together, or one text's last sentence beyond; words and names that a process remembers at most.
+TOKENS, KNOWN = 1 << 15, 1 << 18
+#: What stands before and after a sentence.
+EDGES = ("<<", "<", ">", ">>")
 TOKEN, END = re.compile(r"\w+|[^\w\s]"), frozenset(".!?")
 
 
@@ -54,16 +59,72 @@ def shape(word: str) -> str:
     return "".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1])
 
 
+@lru_cache(KNOWN)
+def place(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % PLACES
+
+
+@lru_cache(KNOWN)
+def of_word(word: str) -> tuple:
+    """A word in small letters, its shape, and the places of what it says of itself, of the next token and of the one before."""
+    w, form = word.lower(), shape(word)
+    return w, form, (place(f"w{w}"), place(f"s{form}"), place(f"p{w[:3]}{form}"), place(f"e{w[-3:]}{form}"), place(f"a{w}"), place(f"b{w}"))
+
+
+def places_of(words: list[list[str]]) -> np.ndarray:
+    """Places of the features of the tokens of some sentences, one after the other: the word, its shape and ends, and its neighbours. Equal words and pairs are looked at once."""
+    known = dict(zip(EDGES, range(len(EDGES)), strict=True))
+    flat = [i for sentence in words for i in (0, 1, *[known.setdefault((w,), len(known)) for w in sentence], 2, 3)]
+    made = [(x, "", (0, 0, 0, 0, place(f"a{x}"), place(f"b{x}"))) for x in EDGES] + [of_word(w) for (w,) in list(known)[len(EDGES) :]]
+    low: dict = {}
+    forms: dict = {}
+    low_of, form_of = (np.array([d.setdefault(m[k], len(d)) for m in made]) for k, d in ((0, low), (1, forms)))
+    ids, alone = np.array(flat), np.array([m[2] for m in made])
+    at = np.flatnonzero(ids >= len(EDGES))
+    words_, shapes = list(low), list(forms)
+
+    def pairs(name: str, a: np.ndarray, b: np.ndarray, left: list, right: list, blank: str) -> np.ndarray:
+        keys, back = np.unique(a * len(right) + b, return_inverse=True)
+        # a checksum goes on from that of what stands before
+        begun, then = [zlib.crc32(f"{name}{x}{blank}".encode("utf-8", "surrogatepass")) for x in left], [x.encode("utf-8", "surrogatepass") for x in right]
+        return np.array([zlib.crc32(then[k], begun[i]) for i, k in zip((keys // len(right)).tolist(), (keys % len(right)).tolist(), strict=True)])[back] % PLACES
+
+    w, f = low_of[ids], form_of[ids]
+    return np.column_stack(
+        [
+            alone[ids[at], :4], alone[ids[at - 1], 4], alone[ids[at + 1], 5],
+            pairs("c", w[at - 2], w[at - 1], words_, words_, " "), pairs("d", w[at + 1], w[at + 2], words_, words_, " "),
+            pairs("f", f[at - 1], f[at], shapes, shapes, ""), pairs("g", f[at], f[at + 1], shapes, shapes, ""), pairs("h", w[at - 1], f[at], words_, shapes, " "),
+        ]
+    )
+
+
 def places(words: list[str]) -> np.ndarray:
-    """Places of each token's features: the word, its shape and ends, and its neighbours."""
-    low = ["<<", "<", *[w.lower() for w in words], ">", ">>"]
-    form = ["", "", *[shape(w) for w in words], "", ""]
-    out = []
-    for i in range(2, len(words) + 2):
-        w = low[i]
-        names = (f"w{w}", f"s{form[i]}", f"p{w[:3]}{form[i]}", f"e{w[-3:]}{form[i]}", f"a{low[i - 1]}", f"b{low[i + 1]}", f"c{low[i - 2]} {low[i - 1]}", f"d{low[i + 1]} {low[i + 2]}", f"f{form[i - 1]}{form[i]}", f"g{form[i]}{form[i + 1]}", f"h{low[i - 1]} {form[i]}")
-        out.append([zlib.crc32(n.encode("utf-8", "surrogatepass")) % PLACES for n in names])
-    return np.array(out)
+    return places_of([words])
+
+
+def best_of(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> list[np.ndarray]:
+    """`best` of sentences whose tokens follow each other in scores, all of them a token further at a time."""
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    order = np.argsort(-lengths, kind="stable")
+    starts, ends = first[order], lengths[order]
+    back = np.zeros(scores.shape, np.int8)
+    now = scores[starts] + moves[-1]
+    # how many sentences have a token at a place: the first ones, since the longest come first
+    have = np.searchsorted(-ends, -np.arange(ends[0]), "left")
+    for i in range(1, int(ends[0])):
+        m = have[i]
+        ways = now[:m, :, None] + moves[:-1]
+        back[starts[:m] + i] = ways.argmax(1)
+        now[:m] = ways.max(1) + scores[starts[:m] + i]
+    tags = np.zeros(len(scores), np.int64)
+    tag = now.argmax(1)
+    for i in range(int(ends[0]) - 1, -1, -1):
+        m = have[i]
+        tags[starts[:m] + i] = tag[:m]
+        if i:
+            tag[:m] = back[starts[:m] + i, tag[:m]]
+    return [tags[a : a + n] for a, n in zip(first.tolist(), lengths.tolist(), strict=True)]
 
 
 def best(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -89,17 +150,39 @@ class Recogniser:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Begin, end and kind of the entities of a text, in code points; tokens of one kind that follow each other are one."""
-        out: list[tuple[int, int, str]] = []
-        for tokens in sentences(text or ""):
-            tags = best(self.weights[places([text[a:b] for a, b in tokens])].sum(1), self.moves)
-            last = 0
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list) -> list[list[tuple[int, int, str]]]:
+        """The spans of each text. Sentences are read together, as many as come to TOKENS."""
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        held: list[tuple[int, list[tuple[int, int]]]] = []
+        words: list[list[str]] = []
+        size = 0
+        for n, text in enumerate(texts):
+            for tokens in sentences(text or ""):
+                held.append((n, tokens))
+                words.append([text[a:b] for a, b in tokens])
+                size += len(tokens)
+                if size >= TOKENS:
+                    self._mark(held, places_of(words), out)
+                    held, words, size = [], [], 0
+        if held:
+            self._mark(held, places_of(words), out)
+        return out
+
+    def _mark(self, held: list, at: np.ndarray, out: list) -> None:
+        # the weights of a few thousand tokens at once stay in a processor's cache
+        scores = np.concatenate([self.weights[at[i : i + 2048]].sum(1) for i in range(0, len(at), 2048)])
+        for (n, tokens), tags in zip(held, best_of(scores, np.array([len(t) for _, t in held]), self.moves), strict=True):
+            if not tags.any():
+                continue
+            last, mine = 0, out[n]
             for (a, b), t in zip(tokens, tags.tolist(), strict=True):
                 if t and t == last:
-                    out[-1] = (out[-1][0], b, out[-1][2])
+                    mine[-1] = (mine[-1][0], b, mine[-1][2])
                 elif t:
-                    out.append((a, b, TAGS[t]))
+                    mine.append((a, b, TAGS[t]))
                 last = t
-        return out
 
     def found(self, spark: SparkSession):
         """A function from a column of texts to array<struct<start, end, kind>>."""
@@ -109,7 +192,7 @@ class Recogniser:
         @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in hold.value.spans(t)] for t in texts], dtype=object)
+                yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in found] for found in hold.value.spans_of(texts.tolist())], dtype=object)
 
         return run
 
@@ -171,8 +254,10 @@ def train(data: DataFrame, epochs: int = EPOCHS) -> Recogniser:
         hold = spark.sparkContext.broadcast(model)
 
         def run(batches):
-            shard = [(places(words), np.array(gold)) for batch in batches for pieces in batch.column(1).to_pylist() for words, gold in sentences_of(pieces)]
-            if shard:
+            made = [x for batch in batches for pieces in batch.column(1).to_pylist() for x in sentences_of(pieces)]
+            if made:
+                at = np.split(places_of([words for words, _ in made]), np.cumsum([len(words) for words, _ in made])[:-1])
+                shard = [(x, np.array(gold)) for x, (_, gold) in zip(at, made, strict=True)]
                 w, dw, m, dm = epoch(hold.value, shard)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w, m + PLACES * tags])), pa.array(np.concatenate([dw, dm]))], ["at", "change"])
 

@@ -62,3 +62,21 @@ def test_counts_as_features(spark, trained):
     assert got[0]["ent_GPE"] >= 1 and got[0]["ent_DATE"] >= 1
     assert all(got[i][f"ent_{e}"] == 0 for i in (1, 2) for e in ENTITIES)
     assert model.spans("") == []
+
+
+def test_sentences_read_together(monkeypatch):
+    """Many sentences at once have the tags that each has alone, and take far fewer steps than they have tokens."""
+    r = np.random.default_rng(3)
+    model = recogniser.Recogniser(r.integers(-3, 4, (recogniser.PLACES, 5)) / 6, r.integers(-3, 4, (6, 5)) / 6)
+    texts = ["Ines drives to Brindale. Every Monday!", "", None, "x", "Émile \ud800 İst 9-1", *[" ".join(r.choice(["Anna", "goes", "to", "Rome", ".", "on", "Monday"], 60)) for _ in range(50)]]
+    lengths = [len(t) for text in texts for t in recogniser.sentences(text or "")]
+    scores = r.integers(-5, 6, (sum(lengths), 5)) / 3
+    alone = [recogniser.best(s, model.moves).tolist() for s in np.split(scores, np.cumsum(lengths)[:-1])]
+    assert [t.tolist() for t in recogniser.best_of(scores, np.array(lengths), model.moves)] == alone
+    one = [model.spans(t) for t in texts]
+    monkeypatch.setattr(recogniser, "TOKENS", 40)
+    assert model.spans_of(texts) == one and sum(map(len, one)) > 100
+    steps = []
+    monkeypatch.setattr(recogniser, "best", lambda *a: steps.append(a))
+    model.spans_of(texts)
+    assert steps == []
