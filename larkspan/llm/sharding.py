@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import durable, fresh, prefix_sums, scratch, with_rows
+from larkspan.llm.common import durable, fresh, prefix_sums, scratch, with_places, with_rows
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
@@ -77,30 +77,38 @@ def shard_documents(docs: DataFrame, shards: int = 24, group_tolerance: float =
         return keep(durable(placed.select("doc_id", "size", "text_crc32", "shard", "slot")))
 
 
-def _joined(docs: DataFrame, rows: DataFrame, row: str, shards: int, tolerance: float, order: Sequence[Column] = ()) -> DataFrame:
-    """The columns of docs with shard and slot; rows: docs with the column row."""
-    names = [f"_o{i}" for i in range(len(order))]
+def shard_with_texts(docs: DataFrame, shards: int = 24, group_tolerance: float = 0.02) -> DataFrame:
+    """All columns of `docs` with shard and slot, which replace columns of these names; texts are shuffled once."""
+    row = fresh(docs, "_row")
+    rows = with_rows(docs, row)
     with scratch() as keep:
-        narrow = rows.select("doc_id", "text", F.col(row).alias("_row"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
-        where = assign_shards(durable(keyed(narrow, "_row", *names)), shards, tolerance, names)
+        where = assign_shards(durable(keyed(rows.select("doc_id", "text", F.col(row).alias("_row")), "_row")), shards, group_tolerance)
         where = keep(durable(where.select(F.col("_row").alias(row), "shard", "slot")))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return rows.drop("shard", "slot").join(where, row).select(*columns, "shard", "slot")
+    return rows.drop("shard", "slot").join(where, row).select(*_others(docs), "shard", "slot")
 
 
-def shard_with_texts(docs: DataFrame, shards: int = 24, group_tolerance: float = 0.02) -> DataFrame:
-    """All columns of `docs` with shard and slot, which replace columns of these names; texts are shuffled once."""
-    row = fresh(docs, "_row")
-    return _joined(docs, with_rows(docs, row), row, shards, group_tolerance)
+def _others(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
 
 
 def shard_in_order(docs: DataFrame, shards: int = 24) -> DataFrame:
     """As shard_with_texts, along the order in which the rows of `docs` stand: shards follow each other in it, and slots within them.
 
     Rows of files stand by the files' names (part files are numbered, with more digits beyond 99999) and by place in them, others by partition.
+    A shard is one run of places in each file that it touches, so texts aren't shuffled: the runs, at most a row for each file and shard, are broadcast.
     """
-    row = fresh(docs, "_row")
-    rows = with_rows(docs, row)
-    # file:place, or a number alone
-    file, place = F.regexp_extract(row, "([^/]*):[0-9]+$", 1), F.regexp_extract(row, "([0-9]+)$", 1).cast("long")
-    return _joined(docs, rows, row, shards, 0.0, (F.length(file), file, place))
+    file, place = fresh(docs, "_file"), fresh(docs, "_place")
+    rows = with_places(docs, file, place)
+    with scratch() as keep:
+        path = F.col(file)
+        name = F.substring_index(path, "/", -1)
+        # files of one name in several folders stand one after the other
+        order = {"_o0": F.length(name), "_o1": name, "_o2": path, "_o3": F.col(place)}
+        size = (F.octet_length(F.coalesce("text", F.lit(""))) + OVERHEAD).cast("long")
+        where = assign_shards(durable(rows.select(size.alias("size"), *[c.alias(n) for n, c in order.items()])), shards, 0.0, list(order))
+        spans = where.groupBy("_o2", "shard").agg(F.min("_o3").alias("_first"), F.max("_o3").alias("_last"), F.min("slot").alias("_slot"))
+        spans = keep(durable(spans.select(F.col("_o2").alias("_path"), F.col("shard").alias("_shard"), "_first", "_last", "_slot")))
+    columns = [*[c.alias(f"_c{i}") for i, c in enumerate(_others(docs))], F.col(file).alias("_at_file"), F.col(place).alias("_at")]
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    found = rows.select(*columns).join(F.broadcast(spans), (F.col("_at_file") == F.col("_path")) & F.col("_at").between(F.col("_first"), F.col("_last")))
+    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_shard").alias("shard"), (F.col("_at") - F.col("_first") + F.col("_slot")).alias("slot"))
