@@ -23,13 +23,14 @@ are 0 and every token has probability 1; extra columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.arrays import Counter, Index, find, mix, pieces, summed, words_of
@@ -53,8 +54,10 @@ SLOTS = 1 << 21
 RANGES = 1 << 12
 #: Passes over the texts, each for a share of the keys, in which documents' n-grams are looked up, so that less is shuffled at a time.
 PARTS = 1
-#: Tokens, or keys of a table, for each slice of the keys; a slice is held by one worker at a time.
-SLICE = 1_000_000
+#: Tokens, or keys of a table, for each slice of the keys; a slice is held by one worker at a time. N-grams that a task counts before it sends them.
+SLICE, SENT = 250_000, 1_000_000
+#: Bytes of a batch of arrays, so that a worker and the JVM hold few of them whatever their number in a task.
+BATCH = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -264,7 +267,7 @@ def count_grams(texts: DataFrame, length: int, floor: int, slices: int, known=No
                 at = np.flatnonzero(ok)
                 held.append((context[at], suffix[at]))
                 size += len(at)
-                if size > SLICE:
+                if size > SENT:
                     yield send(held)
                     held, size = [], 0
         if size:
@@ -369,8 +372,8 @@ def train(texts: DataFrame, order: int = ORDER, gain: float = GAIN, floor: int =
     return tree, (counts.join(weights, "h", "left") if order else counts.withColumn("value", F.lit(None).cast("double")), tables)
 
 
-def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part: int, slices: int) -> DataFrame:
-    """_row, far: the sums of values (key, value) over the n-grams of each text (_row, text) that are beyond the head and in this part of the keys.
+def looked_up(texts: DataFrame, tail, length: int, values: list[DataFrame], part: int, slices: int) -> DataFrame:
+    """_row, far: the sums of values (key, value) over the n-grams of each text (_row, text) that are beyond the head and in this part of the keys. tail: a broadcast filter of these.
 
     Tables and what documents ask of them are dealt by slices of the keys, as arrays in one value; a worker holds one slice of the tables, past which
     the questions stream. Answers go back to their texts in the same way.
@@ -399,7 +402,7 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
                 keys, docs = [], []
                 for _, _, key, ok in grams(tokens, bounds, length):
                     at = np.flatnonzero(ok & own(key))
-                    at = at[maybe(tree.value.tail, key[at])]
+                    at = at[maybe(tail.value, key[at])]
                     keys.append(key[at])
                     docs.append(of[at])
                 keys, docs = np.concatenate(keys), np.concatenate(docs)
@@ -412,8 +415,9 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
 
     def answered(batches):
         now, held, table = None, [], None
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["base", "blob"])
         for batch in batches:
-            out = []
+            out, size = [], 0
             for p, base, docs, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 raw = blob.as_buffer()
                 if p != now:
@@ -432,8 +436,12 @@ def looked_up(texts: DataFrame, tree, length: int, values: list[DataFrame], part
                 at, have = table[0].find(np.frombuffer(raw, np.uint64, k))
                 if have.any():
                     out.append((base, np.bincount(np.frombuffer(raw, number, k, 8 * k)[have], table[1][at[have]], docs).tobytes()))
+                    size += 8 * docs
+                    if size > BATCH:
+                        yield told(out)
+                        out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["base", "blob"])
+                yield told(out)
 
     def added(batches):
         now, total = None, None
@@ -529,9 +537,11 @@ def score(docs: DataFrame, tree: Tree, tables: tuple[DataFrame, list[DataFrame]]
     if far:
         collect_garbage(spark)
         slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(t.count() for t in far) // PARTS // SLICE)
-        more = []
+        hold.unpersist()
+        # the filter alone, since the tree would stand in each worker beside its slice
+        tail, more = spark.sparkContext.broadcast(tree.tail), []
         for part in range(PARTS):
-            more.append(durable(looked_up(docs, hold, len(tree.next), far, part, slices)))
+            more.append(durable(looked_up(docs, tail, len(tree.next), far, part, slices)))
             collect_garbage(spark)
         whole = more[0]
         for m in more[1:]:
@@ -569,9 +579,24 @@ def with_numbers(docs: DataFrame) -> DataFrame:
             return placed.select("doc_id", "text", (first + F.col("_at")).alias("_row"))
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, most: int = BATCH):
+    """Batches that go to Python have about `most` bytes at most inside; rows are arrays here, so that their number bounds nothing."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def score_documents(docs: DataFrame, **options) -> DataFrame:
     """Scores of all documents, learned from those that aren't held out."""
-    with scratch() as keep:
+    with scratch() as keep, bounded_batches(docs.sparkSession):
         rows = with_numbers(docs).select("_row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
         tree, tables = train(rows.where(~F.col("held_out")).select("text"), **options)
         return keep(durable(score(rows, tree, tables)))
