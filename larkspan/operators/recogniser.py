@@ -39,16 +39,20 @@ TOKENS, KNOWN = 1 << 15, 1 << 18
 #: What stands before and after a sentence.
 EDGES = ("<<", "<", ">", ">>")
 TOKEN, END = re.compile(r"\w+|[^\w\s]"), frozenset(".!?")
+#: Words whose full stop ends no sentence, so that a name that has one isn't torn.
+SHORT = frozenset(("st", "mt", "ft", "dr", "mr", "mrs", "ms", "prof"))
 
 
 def sentences(text: str) -> Iterator[list[tuple[int, int]]]:
     """Begins and ends of the tokens of each sentence."""
     now: list[tuple[int, int]] = []
+    last = ""
     for m in TOKEN.finditer(text):
         now.append(m.span())
-        if m.group() in END:
+        if m.group() in END and not (m.group() == "." and last.lower() in SHORT):
             yield now
             now = []
+        last = m.group()
     if now:
         yield now
 
