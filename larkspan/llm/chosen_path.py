@@ -23,7 +23,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import jaccard_join
@@ -123,15 +123,18 @@ def counted(classes: DataFrame, trees: int, large: np.ndarray, alike: np.ndarray
 def unparted(nodes: DataFrame, above: DataFrame) -> DataFrame:
     """The nodes (h) one level up of which one child holds nearly all. Their documents are alike, so more tokens would repeat the group and part nobody."""
     held = above.select(F.col("h").alias("parent"), F.col("n").alias("of"))
-    return nodes.join(held, "parent").where((F.col("of") > SMALL) & (F.col("n") >= ALIKE * F.col("of"))).select(F.col("parent").alias("h")).distinct()
+    return nodes.join(held, "parent").where((F.col("of") > SMALL) & (F.col("n") >= ALIKE * F.col("of"))).select(F.col("parent").alias("h"))
 
 
-def filter_of(nodes: DataFrame) -> np.ndarray:
-    """Of the column h, in words of 64 bits; a row for each is gathered at most."""
-    t = nodes.select(F.expr(f"shiftright(h & {FILTER - 1}, 6)").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(FILTER // 64, np.uint64)
-    words[t.column("w").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
-    return words
+def filters_of(nodes: DataFrame, *kinds: Column) -> list[np.ndarray]:
+    """Of the column h where each of kinds holds, in words of 64 bits; a row for each is gathered at most. One pass."""
+    bit_ = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    one = [F.coalesce(F.bit_or(F.when(k, bit_)), F.lit(0).cast("long")).alias(f"b{i}") for i, k in enumerate(kinds)]
+    t = nodes.groupBy(F.expr(f"shiftright(h & {FILTER - 1}, 6)").alias("w")).agg(*one).toArrow()
+    out = [np.zeros(FILTER // 64, np.uint64) for _ in kinds]
+    for i, words in enumerate(out):
+        words[t.column("w").to_numpy()] = t.column(f"b{i}").to_numpy().view(np.uint64)
+    return out
 
 
 def leaves(classes: DataFrame, trees: int) -> DataFrame:
@@ -141,10 +144,10 @@ def leaves(classes: DataFrame, trees: int) -> DataFrame:
     depth, above = 0, None
     for level in range(1, DEPTH + 1):
         nodes = counted(classes, trees, large, alike, level)
-        shared = shared | filter_of(nodes)
-        more = filter_of(nodes.where(F.col("n") > SMALL))
+        known, more = filters_of(nodes, F.lit(True), F.col("n") > SMALL)
+        shared = shared | known
         if above is not None:
-            alike = alike | filter_of(unparted(nodes, above))
+            alike = alike | filters_of(unparted(nodes, above), F.lit(True))[0]
             release(above)
         depth, above = level, nodes
         if not more.any():
