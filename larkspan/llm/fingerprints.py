@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm import jaccard_join
 from larkspan.llm.arrays import chunks, mix, words_of
-from larkspan.llm.common import durable, map_arrow, scratch
+from larkspan.llm.common import durable, fewer, map_arrow, scratch
 
 WORDS, PERMUTATIONS, ROWS = 5, 128, 6
 _seed = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -117,15 +117,15 @@ def with_next(docs: DataFrame, notes: DataFrame | None = None, parts: int | None
     notes (doc_id, note), one for an id, come along, each ahead of its documents, so that these needn't be joined.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     n, place = ranges(docs.select("doc_id"), parts)
     ranged = place(docs, F.col("th") / 2.0**64 + 0.5)
     down = F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("d"), "th")
     # a row for each range
-    heads = durable(ranged.groupBy("_b").agg(F.min(down).alias("f")).select(F.col("_b").alias("_p"), F.bitwise_not("f.d").alias("_d"), F.col("f.th").alias("_t")))
+    heads = durable(fewer(ranged.groupBy("_b").agg(F.min(down).alias("f")).select(F.col("_b").alias("_p"), F.bitwise_not("f.d").alias("_d"), F.col("f.th").alias("_t"))))
     first = ranged.join(F.broadcast(heads), (F.col("_b") == F.col("_p")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("th") == F.col("_t")))
-    first = durable(first.groupBy("_b", "doc_id", "th").agg(F.min("text").alias("text")))
+    first = durable(fewer(first.groupBy("_b", "doc_id", "th").agg(F.min("text").alias("text"))))
     around = Window.orderBy("_b")
     # which range's first row ends a range: that of the next one, of the first one at the end
     ends = first.select("_b").withColumn("_n", F.coalesce(F.lead("_b").over(around), F.first("_b").over(around))).select(F.col("_b").alias("_e"), "_n")
@@ -136,7 +136,7 @@ def with_next(docs: DataFrame, notes: DataFrame | None = None, parts: int | None
         own = place(notes.where(F.col("doc_id").isNotNull()).select("doc_id", "note"), None)
         rows = rows.union(own.select("doc_id", F.lit("").alias("text"), F.lit(0).cast("long").alias("th"), "note", F.lit(NOTE).alias("_kind"), "_b"))
     # for each range a number that hashing deals to a partition of its own
-    number = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("k")).agg(F.min("id").alias("id"))
+    number = fewer(spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("k")).agg(F.min("id").alias("id")))
     number = {r["k"]: r["id"] for r in number.collect()}
     dealt = rows.withColumn("_b", F.get(F.array(*[F.lit(number.get(k, k)).cast("long") for k in range(n)]), F.col("_b")))
     order = [F.col("_b"), F.col("_kind") == END, F.desc_nulls_last("doc_id"), F.col("_kind"), F.col("th"), F.col("text")]
@@ -221,4 +221,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     with scratch() as keep:
         sets = jaccard_join.posted_sets(docs, WORDS, bands)
         roots = jaccard_join.link_classes(docs, sets, WORDS, percent)
-        return keep(durable(jaccard_join.with_least(sets, roots).select("doc_id", F.col("least").alias("class_id"))))
+        return keep(durable(fewer(jaccard_join.with_least(sets, roots).select("doc_id", F.col("least").alias("class_id")))))
