@@ -22,13 +22,13 @@ def shuffled(rows: DataFrame, key: str, seed: int, parts: int | None = None) ->
     return made.repartitionByRange(parts, "_order").sortWithinPartitions("_order").drop("_order")
 
 
-def prepare_dataset(spark: SparkSession, folder: str, path: str, tokenize: Callable[[Column], Column] = words, limit: int = MAX_TOKENS, seed: int = 0) -> tuple[DataFrame, dict[str, int]]:
-    """Writes the training table (id, text, n_tokens) of the dataset in a folder and returns it with the numbers of rows kept and skipped.
+def prepare_dataset(spark: SparkSession, folder: str, path: str, tokenize: Callable[[Column], Column] = words, limit: int = MAX_TOKENS, seed: int = 0, text: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """Writes the training table (id, text, n_tokens) of the dataset in a folder and returns it with the numbers of rows kept and skipped. text: as read_dataset has it.
 
     Both are counted while the rows are written, so the input is read and tokenized once.
     """
     seen = Observation()
-    made = formatted(read_dataset(spark, folder, ("train",)), tokenize)
+    made = formatted(read_dataset(spark, folder, ("train",), text=text), tokenize)
     counted = made.observe(seen, F.count_if(F.col("n_tokens") <= limit).alias("kept"), F.count_if(F.col("n_tokens") > limit).alias("skipped"))
     rows = counted.where(F.col("n_tokens") <= limit).select("id", F.col("training_text").alias("text"), "n_tokens")
     # ranges are cut by a sample, which reads its input too: it reads what is written here

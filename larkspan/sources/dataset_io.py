@@ -50,8 +50,8 @@ def _split(spark: SparkSession, folder: str, split: str, state: tuple[int, list[
     return _lines(spark, f"{path}/{{{','.join(writes)}}}-*") if writes else spark.createDataFrame([], EXAMPLE)
 
 
-def read_dataset(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPLITS, check: bool = True) -> DataFrame:
-    """The examples of those splits that are there; fails if none is. Only the asked splits' files are listed and read."""
+def read_dataset(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPLITS, check: bool = True, text: bool = True) -> DataFrame:
+    """The examples of those splits that are there; fails if none is. Only the asked splits' files are listed and read. text: whether the check asks for one."""
     state = commits(spark, folder)
     found = [df for s in splits if (df := _split(spark, folder, s, state)) is not None]
     if not found:
@@ -60,7 +60,7 @@ def read_dataset(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPL
     for df in found[1:]:
         out = out.unionByName(df)
     out = out.withColumns({"labels": F.coalesce("labels", F.array().cast("array<string>")), "rationale": F.coalesce("rationale", F.lit(""))})
-    return require_valid(out, ids=NUMBERED_ID) if check else out
+    return require_valid(out, ids=NUMBERED_ID, text=text) if check else out
 
 
 def _staged(examples: DataFrame, path: str) -> bool:
