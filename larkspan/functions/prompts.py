@@ -28,6 +28,10 @@ def prompt(text: Column) -> Column:
     return F.concat(F.lit(BEFORE), text, F.lit(AFTER))
 
 
+def framed(text: str) -> str:
+    return BEFORE + text + AFTER
+
+
 def words(text: Column) -> Column:
     """The default tokenizer: words between blanks. A real one comes as a function of a column."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")

@@ -14,7 +14,7 @@ from larkspan.functions.prompts import AFTER, BEFORE, COMPLETION_END, MAX_TOKENS
 from larkspan.functions.quotas import apportion, first_of
 from larkspan.functions.ranking import file_places, seeded
 from larkspan.functions.schema import LABELS
-from larkspan.functions.subwords import subwords
+from larkspan.functions.subwords import counted
 from larkspan.operators import baseline, datasets, hook, metrics, recogniser, templates, tfidf, validation
 from larkspan.operators.training import prepare_dataset
 from larkspan.plans import derived
@@ -626,10 +626,7 @@ def prepare_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def subword_prompts(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
     """Prompts cut at the limit in subwords of a public vocabulary, whether the text comes back from its subwords, and how many it has."""
-    encode, decode = subwords(spark, tokenizer)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", encode("text"))
-    cut = prompts.assembled(F.col("text"), encode, decode)
-    return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_subwords"), (decode("ids") == F.col("text")).alias("same"), F.size(cut).cast("bigint").alias("n_prompt"))
+    return counted(table(spark, sf_dir, "documents"), "doc_id", tokenizer)
 
 
 @query(f"{_SPLIT_SQL} SELECT id, md5(text) AS text_md5, array_to_string(labels, ',') AS labels, risk, rationale, is_hard_negative, split, domain, source FROM dataset")
