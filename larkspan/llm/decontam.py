@@ -9,7 +9,8 @@ are united over the diagonals of a document, so an insertion or deletion doesn't
 is contaminated by an item if the share of matched tokens reaches `overlap`.
 
 Native. The benchmark's seeds are broadcast only if they number at most `BROADCAST_SEEDS`; beyond that
-they are joined by shuffle. Hits are narrow; only documents with hits are read again for verification.
+they are joined by shuffle. Hits are narrow: a broadcast's carry the tokens that the item aligns with, as all of a document's hits are in memory
+at once; of the others' only documents with hits are read again for verification.
 
 Defined cases: tokens are lower-cased runs of letters and digits; items of fewer tokens than the longest mask
 are found by pairs of their tokens and have to reach `overlap` on one diagonal, those below `MIN_TOKENS` match nothing, and so do items without an id;
@@ -83,22 +84,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.6, masks: tup
     keys = seeds(long, wide)
     keys = durable(keys.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h")))
     short_keys = durable(short_seeds(short, overlap))
+    # with how many tokens the item has
+    sized = lambda k: F.broadcast(k.join(items.select(F.col("id").alias("item"), F.size("t").alias("n")), "item"))
     gaps = short_keys.agg(F.max("gap")).first()[0] or 0
     few = keys.count() + short_keys.count() <= BROADCAST_SEEDS
     read = docs.select("id", tokens(F.col("text")).alias("t"))
     diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
     item_t = items.select(F.col("id").alias("item"), F.col("t").alias("item_t"))
-    at = F.filter(F.transform("item_t", lambda x, i: F.when(F.get("t", i + F.col("diagonal")) == x, i)), lambda i: i.isNotNull())
-    aligned = lambda df: df.select("id", "item", "diagonal", F.size("item_t").alias("n"), at.alias("at"))
+    at = lambda t, first: F.filter(F.transform("item_t", lambda x, i: F.when(F.get(t, i + first) == x, i)), lambda i: i.isNotNull())
+    aligned = lambda df, t, first: df.select("id", "item", "diagonal", F.size("item_t").alias("n"), at(t, first).alias("at"))
+    window = F.slice("t", F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)) + 1, F.col("n")).alias("w")
     pair = lambda k: F.xxhash64(F.lit(k), "t0", F.get("t", F.col("pos") + k))
     if few:
         # fewer items than seeds
         pairs = long.select("t", F.posexplode("t").alias("pos", "t0")).select(F.xxhash64("t0", F.get("t", F.col("pos") + PAIR)).alias("p")).distinct()
-        found = seeds_near(read, wide, pairs).join(F.broadcast(keys), F.col("h") == F.col("item_h")).select("id", "t", "item", diagonal)
+        found = seeds_near(read, wide, pairs).join(sized(keys), F.col("h") == F.col("item_h")).select("id", window, "item", diagonal)
         if gaps:
             near = read.select("id", "t", F.posexplode("t").alias("pos", "t0")).select("id", "t", "pos", F.explode(F.array(*[pair(k) for k in range(1, gaps + 1)])).alias("h"))
-            found = found.union(near.join(F.broadcast(short_keys), F.col("h") == F.col("item_h")).select("id", "t", "item", diagonal))
-        both = aligned(found.join(F.broadcast(item_t), "item")).distinct()
+            found = found.union(near.join(sized(short_keys), F.col("h") == F.col("item_h")).select("id", window, "item", diagonal))
+        both = aligned(found.join(F.broadcast(item_t), "item"), "w", F.least("diagonal", F.lit(0))).distinct()
     else:
         found = seeds(read, wide).join(keys, F.col("h") == F.col("item_h")).select("id", "item", diagonal)
         if gaps:
@@ -107,7 +111,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.6, masks: tup
         met = durable(found.distinct())
         held = docs.join(met.select("id").distinct(), "id", "left_semi").select("id", tokens(F.col("text")).alias("t"))
         # a row for each diagonal meets the one row of its document
-        both = aligned(met.join(item_t, "item").join(held, "id"))
+        both = aligned(met.join(item_t, "item").join(held, "id"), "t", F.col("diagonal"))
     # places of an item are counted as rows, so many diagonals of a repetitive text aren't gathered
     places = (
         both.where((F.col("n") >= longest) | (F.size("at") >= overlap * F.col("n")))
